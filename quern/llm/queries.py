@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import levels, packing, pii, tokens
+from quern.llm import conversations, levels, packing, pii, tokens
 
 QUERIES = {
     "p5_found": pii.p5_found,
     "p5_masked": pii.p5_masked,
+    "p6_found": conversations.p6_found,
+    "p6_links": conversations.p6_links,
     "p7_ids": tokens.p7_ids,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
