@@ -6,32 +6,58 @@ import re
 
 _FRONT = re.compile(r"\A\s*---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _FENCED = re.compile(r"^ {0,3}(`{3,}|~{3,}).*?(?:^ {0,3}\1[^\n]*$|\Z)", re.S | re.M)
-_SKIPPED = re.compile(r"^(?:#|\||<!--|\*\*severity|(?:id|skill|name|description|title|source|expected):\s)")
-_INLINE = re.compile(r"\(see `[^`]*`\)|`[^`]*`|!?\[[^\]]*\]\([^)]*\)|<?https?://\S+")
-_BULLET = re.compile(r"^(?:[-*+>]|\d+[.)])\s+(?:\[.\]\s*)?")
+_KEYED = re.compile(r"(?:id|skill|name|description|title|source|expected):\s")
+_SEE, _CODE, _LINK, _URL = re.compile(r"\(see `[^`\n]*`\)"), re.compile(r"`[^`\n]*`"), re.compile(r"\[[^\]\n]*\]\([^)\n]*\)"), re.compile(r"https?://\S+")
+_BULLET = re.compile(r"(?:[-*+>]|\d+[.)])\s+(?:\[.\]\s*)?")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
-#: Letters and function words that English sentences do not have.
-_FOREIGN = re.compile(r"[^\W\d_a-zA-Z]|\b(?:die|der|das|wenn|ist|und|nicht|la|el|los|las|cuando|una?|está|para|der|den|le|les|des)\b", re.I)
+_WORD = re.compile(r"[a-z][a-z'’-]*")
+_OTHER_LETTER = re.compile(r"[^\W\d_a-zA-Z]")
+#: Function words that English sentences do not have.
+FOREIGN_WORDS = frozenset("der das wenn ist und nicht ein eine la el los las cuando un una para le les des".split())
 
 
-def prose_lines(text: str) -> list[str]:
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _FENCED.sub("", _FRONT.sub("", text))
+def prose_of(text: str) -> str:
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "---" in text:
+        text = _FRONT.sub("", text)
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("", text)
     lines = []
     for line in text.split("\n"):
-        if line.startswith(("    ", "\t")):
+        bare = line.strip()
+        if not bare or line[0] == "\t" or line.startswith("    "):
             continue
-        line = line.strip()
-        if line and not _SKIPPED.match(line):
-            lines.append(_BULLET.sub("", _INLINE.sub("", line)))
-    return lines
+        first = bare[0]
+        if first in "#|":
+            continue
+        if first in "<*-+>0123456789":
+            if bare.startswith(("<!--", "**severity")):
+                continue
+            bare = _BULLET.sub("", bare, count=1) if _BULLET.match(bare) else bare
+        elif first in "isndte" and _KEYED.match(bare):
+            continue
+        lines.append(bare)
+    text = "\n".join(lines)
+    if "`" in text:
+        text = _CODE.sub("", _SEE.sub("", text))
+    if "](" in text:
+        text = _LINK.sub("", text)
+    if "http" in text:
+        text = _URL.sub("", text)
+    return text
 
 
 def english_words(text: str) -> list[str]:
     """Words of the English sentences of the prose, in lower case."""
-    words: list[str] = []
-    for sentence in _SENTENCE.split("\n".join(prose_lines(text))):
-        if sentence and not _FOREIGN.search(sentence):
-            words += _WORD.findall(sentence.lower())
+    text = prose_of(text).lower()
+    words = _WORD.findall(text)
+    if FOREIGN_WORDS.isdisjoint(words) and (text.isascii() or not _OTHER_LETTER.search(text)):
+        return words
+    words = []
+    for sentence in _SENTENCE.split(text):
+        if sentence.isascii() or not _OTHER_LETTER.search(sentence):
+            found = _WORD.findall(sentence)
+            if FOREIGN_WORDS.isdisjoint(found):
+                words += found
     return words
