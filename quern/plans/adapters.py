@@ -1,0 +1,16 @@
+"""Queries A and B over the log tables; the adapters are checked against hand-made logs in the tests."""
+
+from __future__ import annotations
+
+from quern.operators import adapters as op
+
+QUERIES = {n: getattr(op, n) for n in ("a09_stored_sessions", "b09_session_events", "b13_part_events", "b15_rollout_sessions", "b18_rollout_events", "c09_log_friction", "c21_secret_kinds")}
+ORACLES = {
+    "a09_stored_sessions": "select 'opencode' as store, id as sid, id as session_id, regexp_replace(directory, '[^A-Za-z0-9-]', '-', 'g') as project, false as superset from oc_session where id is not null and directory is not null",
+    "b15_rollout_sessions": """
+with r as (select log_file, line_no, type, case when json_valid(payload) then payload end as p from (select * from rollout qualify row_number() over (partition by log_file, line_no order by row_id) = 1)),
+s as (select log_file, arg_min(coalesce(case when json_type(p, '$.session_id') = 'VARCHAR' then p ->> '$.session_id' end, case when json_type(p, '$.id') = 'VARCHAR' then p ->> '$.id' end), line_no) filter (type = 'session_meta') as id,
+  arg_min(coalesce(case when json_type(p, '$.cwd') = 'VARCHAR' then p ->> '$.cwd' end, chr(0)), line_no) filter (type = 'session_meta') as cwd,
+  bool_or(coalesce(type = 'event_msg' and p ->> '$.type' = 'user_message', false)) as face from r group by 1)
+select 'codex' as store, log_file as sid, coalesce(id, regexp_replace(regexp_extract(log_file, '([^/]*)$', 1), '\\.[^.]*$', '')) as session_id, case when cwd is null or cwd = chr(0) then '' else regexp_replace(cwd, '[^A-Za-z0-9-]', '-', 'g') end as project, not face as superset from s""",
+}
