@@ -60,7 +60,7 @@ def references_and_targets(part: DataFrame, message: DataFrame, session: DataFra
 
 def find_orphans(refs: DataFrame, targets: DataFrame, tombstone: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """Orphan references with ``reason``; see the module docstring for the split by weight."""
-    first = targets.groupBy(KEY).agg(F.min("loaded_at").alias("first_loaded"))
+    first = targets.groupBy(KEY).agg(F.min("loaded_at").alias("first_loaded"), F.lit(True).alias("found"))
     gone = tombstone.where("restored_at is null and record_key is not null").select(F.col("entity"), F.lit("").alias("scope"), F.col("record_key").alias("key")).distinct().withColumn("gone", F.lit(True))
 
     per_period = refs.groupBy(*KEY, F.date_trunc("month", "loaded_at").alias("period")).agg(F.count("*").alias("n"))
@@ -76,9 +76,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, tombstone: DataFrame, heav
     by_shuffle = light.join(first, KEY, "left").join(gone, KEY, "left").withColumn("held", F.lit(True))
 
     status = by_broadcast.unionByName(by_shuffle)
-    exists = F.col("found")
-    reason = F.when(F.col("gone"), "deleted").when(~exists, "missing").when(F.col("first_loaded") > F.col("loaded_at"), "late")
-    return status.withColumn("found", F.col("first_loaded").isNotNull()).withColumn("reason", reason).where("reason is not null").drop("gone", "held", "found", "first_loaded")
+    reason = F.when(F.col("gone"), "deleted").when(F.col("found").isNull(), "missing").when(F.col("first_loaded") > F.col("loaded_at"), "late")
+    return status.withColumn("reason", reason).where("reason is not null").drop("gone", "held", "found", "first_loaded")
 
 
 def _orphans(spark, sf_dir: str) -> DataFrame:

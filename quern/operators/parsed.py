@@ -33,7 +33,9 @@ def _string_udf(function, kind: str = "string"):
     return run
 
 
-structural_hash = _string_udf(g.structural_fingerprint)
+def structural_hash(content):
+    """Structural hash of a text column."""
+    return _string_udf(g.structural_fingerprint)(content)
 
 
 def parse_declarations(docs: DataFrame) -> DataFrame:
