@@ -25,4 +25,56 @@ QUERIES = {
     "p4_blocks": nested.p4_blocks,
     "p4_hunks": nested.p4_hunks,
 }
-ORACLES: dict[str, str] = {}
+_KINDS = "('session_meta', 'user_message', 'agent_message', 'exec_command_end', 'turn_aborted', 'message', 'function_call', 'function_call_output')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), '^x(callid|type|kind|message|timestamp)', '\\1'), '(?:v[0-9]+|value)$', '')"
+#: Records of both streams, their kinds, and one row per top-level field.
+_FIELDS = f"""
+with raw as (select 'rollout' as stream, row_id, log_file as file_name, type, loaded_at, case when json_valid(payload) then payload end as j from rollout
+  union all select 'session_export', row_id, export_file, null, loaded_at, case when json_valid(record) then record end from session_export),
+obj as (select * from raw where json_type(j) = 'OBJECT'),
+keys as (select stream, row_id, unnest(json_keys(j)) as field from obj),
+fld0 as (select k.*, o.j -> ('$."' || k.field || '"') as v from keys k join obj o using (stream, row_id)),
+fld as (select *, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as json_type,
+  coalesce(case when json_type(v) = 'OBJECT' then v ->> '$.name' end, case when json_type(v) = 'ARRAY' then v ->> '$[0]' end, v ->> '$') as named, {_PLAIN.format("field")} as plain from fld0),
+kinds as (select stream, row_id, arg_min(named, case when field = 'type' then 0 when field = 'kind' then 1 when plain in ('type', 'kind') then 2 else 3 end) as kind from fld where stream = 'rollout' and named in {_KINDS} group by all),
+rec as (select o.stream, o.row_id, o.file_name, o.loaded_at, case when o.stream = 'session_export' then 'session' when o.type = 'session_meta' then 'session_meta' else k.kind end as record_kind from obj o left join kinds k using (stream, row_id))
+"""
+_ORPHANS = _FIELDS + """,
+ids as (select row_id, min(named) as call_id from fld where stream = 'rollout' and plain = 'callid' and named <> '' group by 1),
+calls as (select r.row_id, r.file_name, r.loaded_at, r.record_kind, i.call_id from rec r join ids i using (row_id) where r.stream = 'rollout'),
+refs as (select 'oc_part' as tbl, row_id, 'message_id' as field, 'message' as entity, '' as scope, message_id as key, loaded_at from oc_part union all select 'oc_part', row_id, 'session_id', 'session', '', session_id, loaded_at from oc_part
+  union all select 'rollout', row_id, 'call_id', 'call', file_name, call_id, loaded_at from calls where record_kind in ('exec_command_end', 'function_call_output')),
+tgt as (select 'message' as entity, '' as scope, id as key, min(loaded_at) as f from oc_message group by all union all select 'session', '', id, min(loaded_at) from oc_session group by all
+  union all select 'call', file_name, call_id, min(loaded_at) from calls where record_kind = 'function_call' group by all),
+gone as (select distinct entity, record_key as key from tombstone where restored_at is null),
+orph as (select r.*, case when g.key is not null then 'deleted' when t.key is null then 'missing' when t.f > r.loaded_at then 'late' end as reason from refs r
+  left join tgt t on t.entity = r.entity and t.scope = r.scope and t.key = r.key left join gone g on g.entity = r.entity and g.key = r.key where r.key <> '')
+"""
+_DRIFT = _FIELDS + """,
+tot as (select stream, file_name, record_kind, count(*) as n from rec where record_kind is not null group by all),
+per as (select r.stream, r.file_name, r.record_kind, f.field, count(*) as n, list_sort(list_distinct(list(f.json_type) filter (f.json_type is not null))) as types from rec r join fld f using (stream, row_id) where record_kind is not null group by all),
+cat as (select t.*, c.field, c.json_type, c.required from tot t join field_catalog c using (stream, record_kind)),
+retyped as (select c.stream, c.file_name, c.record_kind, c.field from cat c join per p using (stream, file_name, record_kind, field) where len(list_filter(p.types, lambda x: x <> c.json_type)) > 0),
+absent as (select c.* from cat c where required and not exists (from per p where p.stream = c.stream and p.file_name = c.file_name and p.record_kind = c.record_kind and p.field = c.field)),
+strange as (select p.*, t.n as records from per p join tot t using (stream, file_name, record_kind) where exists (from field_catalog c where c.stream = p.stream and c.record_kind = p.record_kind) and not exists (from field_catalog c where c.stream = p.stream and c.record_kind = p.record_kind and c.field = p.field)),
+able as (select stream, file_name, record_kind, types[1] as json_type, count(*) as able, min(field) as now from strange where n = records and len(types) = 1 group by all),
+judged as (select a.*, case when count(*) over (partition by a.stream, a.file_name, a.record_kind, a.json_type) = 1 and b.able = 1 then b.now end as now from absent a left join able b using (stream, file_name, record_kind, json_type)),
+changes as (select stream, file_name, record_kind, field, 'retyped' as change from retyped union all select stream, file_name, record_kind, field, case when now is null then 'removed' else 'renamed' end from judged
+  union all select stream, file_name, record_kind, field, 'added' from strange s where not exists (from judged j where j.stream = s.stream and j.file_name = s.file_name and j.record_kind = s.record_kind and j.now = s.field))
+"""
+ORACLES: dict[str, str] = {
+    "p1_found": _ORPHANS + "select tbl, row_id, field, reason from orph where reason is not null",
+    "p1_by_month": _ORPHANS + "select tbl, field, reason, strftime(loaded_at, '%Y-%m') as month, count(*) as n from orph where reason is not null group by all",
+    "p2_found": _DRIFT + "select * from changes",
+    "p2_unions": _DRIFT + "select stream, record_kind, field, json_type, sum(n)::bigint as records, count(*) as files, min(file_name) as first_file, max(file_name) as last_file from (select r.stream, r.file_name, r.record_kind, f.field, f.json_type, count(*) as n from rec r join fld f using (stream, row_id) where record_kind is not null and f.json_type is not null group by all) group by all",
+    "p4_found": """
+with recursive text as (select 'session_one' as tbl, row_id, 'content' as path, message.content as t from session_one union all select 'oc_part', row_id, 'data', data from oc_part union all select 'oc_message', row_id, 'data', data from oc_message),
+once as (select tbl, row_id, path, case when json_valid(t) then t::json end as j from text),
+src as (select tbl, row_id, path, case when path = 'data' and json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then (j ->> '$')::json end else j end as j from once),
+node as (select tbl, row_id, path, j, false as hit from src where json_type(j) in ('OBJECT', 'ARRAY')
+  union all select tbl, row_id, path, j, hit from (
+    select tbl, row_id, path || '.' || k as path, j -> ('$."' || k || '"') as j, false as hit from (select *, unnest(json_keys(j)) as k from node where json_type(j) = 'OBJECT')
+    union all select tbl, row_id, path || '[' || i || ']', j -> ('$[' || i || ']'), json_type(j -> ('$[' || i || ']')) = 'OBJECT' from (select *, unnest(range(json_array_length(j)::bigint)) as i from node where json_type(j) = 'ARRAY'))
+  where json_type(j) in ('OBJECT', 'ARRAY'))
+select tbl, row_id, path from node where hit""",
+}
