@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from quern.operators import records
 from quern.operators import snapshots as op
 
-QUERIES = {n: getattr(op, n) for n in ("h01_closure", "h02_links", "h06_fingerprints", "h09_snapshot_diff", "h09_severity", "h13_impact", "h15_carryover", "h18_moved", "h23_states", "h24_coverage", "h26_partial_update", "h30_calibration", "h31_gate", "j07_unresolved", "j08_cycles", "j13_surface", "j15_impacted")}
+QUERIES = {n: getattr(op, n) for n in ("h01_closure", "h02_links", "h06_fingerprints", "h09_snapshot_diff", "h09_severity", "h13_impact", "h15_carryover", "h18_moved", "h23_states", "h24_coverage", "h26_partial_update", "h30_calibration", "h31_gate", "j07_unresolved", "j08_cycles", "j13_surface", "j15_impacted")} | records.QUERIES
 
 
 def _snap(name: str, where: str) -> str:
@@ -50,4 +51,6 @@ select *, case when refused then 'nothing written' when ran = scenarios then 'pa
     "j08_cycles": _S + ", reach(start, node) as (select distinct path, path from a_d union select start, dst from reach join edges on src = node) select src, dst from edges e where exists (from reach r where r.start = e.dst and r.node = e.src)",
     "j13_surface": _S + "select * from surface",
     "j15_impacted": _S + "select skill, count(*) as paths from surface where path in (select path from diff where kind <> 'same') group by 1",
+    "h16_skill_results": _S + ", r as (select skill, case when contains(scenario, 'docs/') then 'pass' when reason is null then 'accepted-semantic' else 'accepted-without-run' end as result from carry) select skill, case when bool_and(result = 'pass') then 'pass' when bool_and(result <> 'accepted-without-run') then 'accepted-semantic' else 'accepted-without-run' end as result from r group by 1",
+    "h34_bases": _S + ", rv as (select path, sha256(text) as sha, length(text) as chars, row_number() over (partition by path order by updated_at desc, doc_id desc) - 1 as seq from documents where path is not null and text is not null) select b.path, b.sha, arg_min(chars, seq)::int as chars from b left join rv on rv.path = b.path and rv.sha = b.sha and seq < 200 group by all",
 }
