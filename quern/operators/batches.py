@@ -113,9 +113,9 @@ def evaluate_predicates(predicates: DataFrame, files: DataFrame, commits: DataFr
     log_of = F.coalesce("log", F.array().cast("array<struct<seq:bigint,subject:string,paths:array<string>>>"))
     actual = (
         F.when(F.col("kind") == "file_exists", F.coalesce("is_file", F.lit(False)))
-        .when(F.col("kind") == "file_regex", F.coalesce(F.col("content").rlike(F.col("pattern")), F.lit(False)))
+        .when(F.col("kind") == "file_regex", F.coalesce(F.rlike(F.col("content"), F.col("pattern")), F.lit(False)))
         .when(F.col("kind") == "git_commit_count", F.coalesce("n_commits", F.lit(0)).between(F.coalesce("low", F.lit(0)), F.coalesce("high", F.lit(2**31 - 1))))
-        .when(F.col("kind") == "git_subjects_regex", F.forall(log_of, lambda c: c["subject"].rlike(F.col("pattern"))))
+        .when(F.col("kind") == "git_subjects_regex", F.forall(log_of, lambda c: F.rlike(c["subject"], F.col("pattern"))))
         .when(F.col("kind") == "git_path_committed", F.exists(log_of, lambda c: F.array_contains(c["paths"], F.col("path"))))
         .when(F.col("kind") == "git_no_commit_touches_both", ~F.exists(log_of, lambda c: F.array_contains(c["paths"], F.col("path")) & F.array_contains(c["paths"], F.col("path_b"))))
     )
