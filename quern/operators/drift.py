@@ -34,10 +34,14 @@ def typed_records(rollout: DataFrame, export: DataFrame) -> DataFrame:
 
 def fuse_schemas(records: DataFrame) -> DataFrame:
     """Tagged unions per file and kind: ``records`` and ``fields: [{field, n, types}]``."""
+    # records of one file mostly have one shape: counting shapes first leaves few rows to shuffle,
+    # and what follows is grouped within the partitions of a file and kind
+    shape = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), json_type_of(e["value"]).alias("json_type"))))
+    shapes = records.select(*FILE_KIND, shape.alias("shape")).groupBy(*FILE_KIND, "shape").agg(F.count("*").alias("n")).repartition(*FILE_KIND)
     # one entry without a name stands for the record itself
-    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("json_type"))), F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), json_type_of(e["value"]).alias("json_type"))))
-    tagged = records.select(*FILE_KIND, F.explode(entries).alias("e")).select(*FILE_KIND, "e.field", "e.json_type")
-    per_type = tagged.groupBy(*FILE_KIND, "field", "json_type").agg(F.count("*").alias("n"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("json_type")))
+    tagged = shapes.select(*FILE_KIND, "n", F.explode(F.concat(whole, "shape")).alias("e")).select(*FILE_KIND, "n", "e.field", "e.json_type")
+    per_type = tagged.groupBy(*FILE_KIND, "field", "json_type").agg(F.sum("n").alias("n"))
     alternatives = F.collect_list(F.when(F.col("json_type").isNotNull(), F.struct("json_type", "n")))
     per_field = per_type.groupBy(*FILE_KIND, "field").agg(F.sum("n").alias("n"), F.array_sort(alternatives).alias("types"))
     return per_field.groupBy(FILE_KIND).agg(
