@@ -4,13 +4,35 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every executor, wherever the driver found it; once per context.
+
+    Batch functions are pickled by reference. The archive is handed to Spark, which serves it to
+    executors that come later too.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quern-code-"), "quern.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(where, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(archive)
+    context._quern_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's parquet tables."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
