@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.payloads import call_id_of, fields_of, payload_kind
-from quern.session import table
+from quern.session import cut_lineage, table
 
 KEY = ["entity", "scope", "key"]
 HEAVY_SHARE = 1 / 1000
@@ -44,7 +44,8 @@ def call_references(rollout: DataFrame) -> DataFrame:
 
 
 def references_and_targets(part: DataFrame, message: DataFrame, session: DataFrame, rollout: DataFrame) -> tuple[DataFrame, DataFrame]:
-    calls = call_references(rollout)
+    # payloads are parsed once: calls are needed as references, for their weights, and as targets
+    calls = cut_lineage(call_references(rollout).where(F.col("kind").isin("exec_command_end", "function_call_output", "function_call")))
     refs = (
         _references(part, "oc_part", "message_id", "message", F.col("message_id"))
         .unionByName(_references(part, "oc_part", "session_id", "session", F.col("session_id")))
