@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.payloads import fields_of, json_type_of, payload_kind
-from quern.session import table
+from quern.session import evaluated, table
 
 FILE_KIND = ["stream", "file_name", "record_kind"]
 
 
 def typed_records(rollout: DataFrame, export: DataFrame) -> DataFrame:
     """Records of both streams: ``stream, row_id, file_name, record_kind, fields``."""
-    a = rollout.select(F.lit("rollout").alias("stream"), "row_id", F.col("log_file").alias("file_name"), F.col("type"), fields_of(F.col("payload")).alias("fields"))
-    a = a.withColumn("record_kind", payload_kind(F.col("type"), F.col("fields"))).drop("type")
-    b = export.select(F.lit("session_export").alias("stream"), "row_id", F.col("export_file").alias("file_name"), fields_of(F.col("record")).alias("fields"), F.lit("session").alias("record_kind"))
+    a = evaluated(rollout.select(F.lit("rollout").alias("stream"), "row_id", F.col("log_file").alias("file_name"), F.col("type"), "payload"), {"fields": fields_of(F.col("payload"))}).drop("payload")
+    a = evaluated(a, {"record_kind": payload_kind(F.col("type"), F.col("fields"))}).drop("type")
+    b = evaluated(export.select(F.lit("session_export").alias("stream"), "row_id", F.col("export_file").alias("file_name"), "record"), {"fields": fields_of(F.col("record")), "record_kind": F.lit("session")}).drop("record")
     return a.unionByName(b).where("fields is not null and record_kind is not null")
 
 
