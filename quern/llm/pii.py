@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.payloads import fields_of, payload_kind, plain_name
 from quern.llm.pii_model import Gazetteer, candidates, decode, train
-from quern.session import table
+from quern.session import evaluated, table
 
 MEMORY = 20_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -30,8 +30,8 @@ def session_texts(session: DataFrame) -> DataFrame:
     """What is said in ``session_one.message.content``: ``tbl, row_id, block_no, text``."""
     content = F.col("message.content")
     rows = session.select("row_id", content.alias("content")).where("startswith(ltrim(content), '\"') or contains(content, '\"text\"')")
-    rows = rows.select("row_id", F.try_parse_json("content").alias("v")).where("v is not null")
-    rows = rows.select("row_id", "v", F.schema_of_variant("v").alias("shape"))
+    rows = evaluated(rows, {"v": F.try_parse_json("content")}).drop("content").where("v is not null")
+    rows = evaluated(rows, {"shape": F.schema_of_variant("v")})
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("block_no"), F.try_variant_get("v", "$", "string").alias("text")))
     blocks = F.try_variant_get("v", "$", "array<variant>")
     said = F.transform(blocks, lambda b, i: F.struct(i.cast("bigint").alias("block_no"), F.when((F.try_variant_get(b, "$.type", "string") == "text") & (F.schema_of_variant(F.try_variant_get(b, "$.text", "variant")) == "STRING"), F.try_variant_get(b, "$.text", "string")).alias("text")))
@@ -42,13 +42,14 @@ def session_texts(session: DataFrame) -> DataFrame:
 def rollout_texts(rollout: DataFrame) -> DataFrame:
     """Messages of users and agents in ``rollout.payload``, whatever their field is called."""
     likely = rollout.where("contains(payload, 'user_message') or contains(payload, 'agent_message')")
-    rows = likely.select("row_id", "type", fields_of(F.col("payload")).alias("fields"))
-    rows = rows.where(payload_kind(F.col("type"), F.col("fields")).isin("user_message", "agent_message"))
+    rows = evaluated(likely.select("row_id", "type", "payload"), {"fields": fields_of(F.col("payload"))}).drop("payload")
+    rows = evaluated(rows, {"kind": payload_kind(F.col("type"), F.col("fields"))}).where("kind in ('user_message', 'agent_message')")
     string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$[0]", "string"))
     named = [string(F.element_at("fields", F.lit(k))) for k in ("message", "text", "body", "content", "msg")]
     renamed = F.filter(F.map_entries("fields"), lambda e: plain_name(e["key"]).isin("message", "text", "body", "content", "msg"))
     text = F.coalesce(*named, string(F.get(renamed, F.lit(0))["value"]))
-    return rows.select(F.lit("rollout").alias("tbl"), "row_id", F.lit(0).cast("bigint").alias("block_no"), text.alias("text")).where("text is not null")
+    rows = evaluated(rows.drop("type", "kind"), {"text": text})
+    return rows.select(F.lit("rollout").alias("tbl"), "row_id", F.lit(0).cast("bigint").alias("block_no"), "text").where("text is not null")
 
 
 def spoken_texts(spark, sf_dir: str) -> DataFrame:
