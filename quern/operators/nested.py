@@ -52,29 +52,14 @@ def walk(document, root: str):
             stack.extend((f"{path}[{i}]", f"{schema}[]", f"{label}.{i}", v, True) for i, v in enumerate(value))
 
 
-def _array_objects(value, path: str, out: list) -> None:
-    """Paths of the objects that stand directly in arrays; visits containers only."""
-    stack = [(path, value)]
-    while stack:
-        path, value = stack.pop()
-        if type(value) is dict:
-            for k, v in value.items():
-                if type(v) is dict or type(v) is list:
-                    stack.append((f"{path}.{k}", v))
-        else:
-            for i, v in enumerate(value):
-                if type(v) is dict:
-                    out.append(f"{path}[{i}]")
-                    stack.append((f"{path}[{i}]", v))
-                elif type(v) is list:
-                    stack.append((f"{path}[{i}]", v))
-
-
 _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
-def dewey_nodes(df: DataFrame) -> DataFrame:
-    """All nodes of ``tbl, row_id, root, unwrap, json``: path, label, kind, scalar value."""
+def dewey_nodes(df: DataFrame, array_objects_only: bool = False) -> DataFrame:
+    """All nodes of ``tbl, row_id, root, unwrap, json``: path, label, kind, scalar value.
+
+    With ``array_objects_only`` the walk and its labels are the same, but only objects directly in arrays leave it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,6 +69,8 @@ def dewey_nodes(df: DataFrame) -> DataFrame:
                 if document is None:
                     continue
                 for path, schema, label, value, in_array in walk(document, root):
+                    if array_objects_only and not (in_array and type(value) is dict):
+                        continue
                     kind = _KINDS[type(value)]
                     shown = None if kind in ("object", "array", "null") else value if kind == "string" else json.dumps(value)
                     rows.append((tbl, row_id, arrow_safe(path), arrow_safe(schema), label, kind, in_array, shown and arrow_safe(shown)))
@@ -104,22 +91,7 @@ def dewey_nodes(df: DataFrame) -> DataFrame:
 
 def array_objects(df: DataFrame) -> DataFrame:
     """Only the objects directly in arrays, as ``tbl, row_id, path``: what child tables are made of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tbls, ids, paths = [], [], []
-            for tbl, row_id, root, unwrap, text in zip(*(c.to_pylist() for c in batch.columns)):
-                document = _read(text, unwrap)
-                if type(document) is dict or type(document) is list:
-                    found: list[str] = []
-                    _array_objects(document, root, found)
-                    tbls += [tbl] * len(found)
-                    ids += [row_id] * len(found)
-                    paths += map(arrow_safe, found)
-            yield pa.RecordBatch.from_arrays([pa.array(tbls, pa.string()), pa.array(ids, pa.int64()), pa.array(paths, pa.string())], names=["tbl", "row_id", "path"])
-
-    # an object in an array needs both brackets: rows without them never reach Python
-    return df.select("tbl", "row_id", "root", "unwrap", "json").where("contains(json, '[') and contains(json, '{')").mapInArrow(run, "tbl string, row_id bigint, path string")
+    return dewey_nodes(df, array_objects_only=True).where("kind = 'object' and in_array").select("tbl", "row_id", "path")
 
 
 def parent_of(label):

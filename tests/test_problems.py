@@ -167,3 +167,15 @@ def test_dewey_labels(spark):
     assert {(r["row_id"], r["path"][-4:]) for r in nested.array_objects(df).collect() if r["row_id"] not in (0, 7)} == {(4, "a[0]"), (5, "][0]")}
     rows = {r["label"]: r["parent_label"] for r in nested.child_table(nested.dewey_nodes(df.where("row_id = 0")), "data.a[].b.c[]").collect()}
     assert rows == {"0.0.0.0.0.0": "0.0.0.0"}
+
+
+def test_array_objects_are_dewey_nodes(spark, monkeypatch):
+    texts = ['{"a":[{"b":[{},1]}]}', '"{\\"a\\":\\u005b{}]}"']
+    df = spark.createDataFrame([("t", i, "data", True, t) for i, t in enumerate(texts)], "tbl string, row_id bigint, root string, unwrap boolean, json string")
+    every = nested.dewey_nodes(df).where("kind = 'object' and in_array")
+    labelled = {tuple(r) for r in every.collect()}
+    assert {tuple(r) for r in nested.dewey_nodes(df, array_objects_only=True).collect()} == labelled
+    assert {(r, p) for _, r, p, *_ in labelled} == {(0, "data.a[0]"), (0, "data.a[0].b[0]"), (1, "data.a[0]")}
+    seen = []
+    monkeypatch.setattr(nested, "dewey_nodes", lambda *a, real=nested.dewey_nodes, **k: (seen.append(1), real(*a, **k))[1])
+    assert {(r["row_id"], r["path"]) for r in nested.array_objects(df).collect()} == {(r, p) for _, r, p, *_ in labelled} and seen
