@@ -14,7 +14,7 @@ def _targets(spark, sf_dir):
 
 
 def _some(spark, sf_dir):
-    """Findings that the pipeline queries work on: unsafe wording, missing paths, secrets, tools."""
+    """Findings of the two rules that the SQL twins of the pipeline queries hold: missing paths of instructions and of memories."""
     targets = _targets(spark, sf_dir)
     return op.run_rules(targets, {k: op.CONTEXT_RULES[k] for k in ("CA-S001", "CA-M101")})
 
@@ -57,21 +57,21 @@ def k07_ngram_overlap(spark, sf_dir):
     return op.first_shared_run(ours, contracts, ["rel"], "contract")
 
 
-def f10_finding_ids(spark, sf_dir):
-    return _some(spark, sf_dir).select("rule", "place", "what", op.finding_id().alias("fid"))
+def over(findings, query):
+    """A pipeline query over ``findings``: of the two rules with an SQL twin, or of all."""
+    return lambda spark, sf_dir: query(findings(spark, sf_dir))
 
 
-def f13_ranked(spark, sf_dir):
-    return op.ranked(_some(spark, sf_dir)).groupBy("gravity", "rule").agg(F.count("*").alias("n"))
+def finding_ids(found):
+    return found.select("rule", "place", "what", op.finding_id().alias("fid"))
 
 
-def f14_summary(spark, sf_dir):
-    return op.summarize(_some(spark, sf_dir))
+def ranked(found):
+    return op.ranked(found).groupBy("gravity", "rule").agg(F.count("*").alias("n"))
 
 
-def f16_suppression(spark, sf_dir):
+def suppression(found):
     """The findings left once those in files under ``skills/`` are a baseline."""
-    found = _some(spark, sf_dir)
     baseline = op.build_baseline(found.where(F.col("place").startswith("skills/")))
     return op.apply_suppression(found, baseline).select("fid", "rule", "place")
 
@@ -90,7 +90,8 @@ QUERIES = {
     "d10_front_entries": d10_front_entries, "e02_path_references": e02_path_references, "e12_polarity": e12_polarity,
     "e07_missing_path": op.rule_query("CA-S001"), "e08_missing_skill": op.rule_query("CA-S002"), "e09_unsafe": op.rule_query("CA-U001"), "e10_runtime_tools": op.rule_query("CA-D001"),
     "e11_unmentioned_skill": op.rule_query("CA-D002"), "e17_contradiction": op.rule_query("CA-C001"), "e18_memory_shape": op.rule_query("CA-M001"), "e20_memory_path": op.rule_query("CA-M101"), "e21_memory_secret": op.rule_query("CA-M301"),
-    "e19_run_audit": op.all_findings, "f02_fixes": f02_fixes, "f10_finding_ids": f10_finding_ids, "f13_ranked": f13_ranked, "f14_summary": f14_summary, "f16_suppression": f16_suppression,
+    "e19_run_audit": op.all_findings, "f02_fixes": f02_fixes, "f10_finding_ids": over(_some, finding_ids), "f13_ranked": over(_some, ranked), "f14_summary": over(_some, op.summarize), "f16_suppression": over(_some, suppression),
+    "f10_all_finding_ids": over(op.all_findings, finding_ids), "f13_all_ranked": over(op.all_findings, ranked), "f14_all_summary": over(op.all_findings, op.summarize), "f16_all_suppression": over(op.all_findings, suppression),
     "i26_secret_kinds": i26_secret_kinds, "k01_outside_fences": k01_outside_fences, "k02_markdown_links": k02_markdown_links, "k03_reference_depth": op.rule_query("SI-S001"), "k04_description": op.rule_query("SI-S002"),
     "k05_prose_share": k05_prose_share, "k05_prose_rule": op.rule_query("SI-S003"), "k07_ngram_overlap": k07_ngram_overlap, "k07_copied_contract": op.rule_query("SI-S006"), "k08_assigned_ids": k08_assigned_ids,
 }

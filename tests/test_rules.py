@@ -1,9 +1,11 @@
 """Document rules, findings, batches and records on small made-up tables."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quern.functions import text as tx
 from quern.operators import batches as b
 from quern.operators import parsed, records, rules
@@ -144,3 +146,16 @@ def test_records(spark):
     reach = sn.closure(edges, spark.createDataFrame([("a",)], "start string"))
     assert {r["node"]: r["depth"] for r in reach.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3} and sn.closure(edges, spark.createDataFrame([("a",)], "start string"), 1).count() == 2
     assert value(spark, sn.normalize_path(F.lit("/r/skills/x"), "/r")) == "skills/x" and value(spark, sn.normalize_path(F.lit("/q/x"), "/r")) is None and value(spark, records.carried_note(F.lit("n"), F.lit("old"), F.lit(None).cast("string"))) == "old"
+
+
+def test_audit_and_pipeline_see_every_rule(spark, sf_dir):
+    queries = entry.queries()
+    keys = ("e07_missing_path", "e08_missing_skill", "e09_unsafe", "e10_runtime_tools", "e11_unmentioned_skill", "e17_contradiction", "e18_memory_shape", "e20_memory_path", "e21_memory_secret")
+    want = Counter(r["rule"] for k in keys for r in queries[k](spark, sf_dir).select("rule").collect())
+    assert want["CA-C001"] and Counter(r["rule"] for r in queries["e19_run_audit"](spark, sf_dir).select("rule").collect()) == want
+    ids = queries["f10_all_finding_ids"](spark, sf_dir).select("rule", "place", "fid").collect()
+    assert Counter(r["rule"] for r in ids) == want
+    assert {r["rule"]: r["n"] for r in queries["f13_all_ranked"](spark, sf_dir).groupBy("rule").agg(F.sum("n").alias("n")).collect()} == want
+    assert sum(r["n"] for r in queries["f14_all_summary"](spark, sf_dir).where("facet = 'severity'").collect()) == want.total()
+    gone = {r["fid"] for r in ids if r["place"].startswith("skills/")}
+    assert Counter(r["rule"] for r in queries["f16_all_suppression"](spark, sf_dir).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
