@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,21 +146,34 @@ def link_edges(docs: DataFrame) -> DataFrame:
     return both.join(docs.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").where("src <> dst").distinct()
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reached from each start with their least depth, by frontiers.
 
     Each round joins only the frontier and drops what is reached already; rounds end when the
-    frontier is empty or at ``max_depth``. Lineage is cut every round.
+    frontier is empty, or at ``max_depth`` if the caller asks for one. Lineage is cut every round.
+    What is reached is kept in runs that are merged with later ones as large, so that a deep graph
+    does not write all of it again in every round.
     """
-    reached = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    frontier = reached
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+    # a generated row leaves constraints behind; those that a checkpoint keeps name columns a union does not know
+    def cut(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.select(F.inline(F.array(F.struct("start", "node", "depth")))))
+
+    frontier = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    runs, size, depth = [], frontier.count(), 0
+    while size:
+        merged = frontier
+        while runs and runs[-1][0] <= size:
+            n, run = runs.pop()
+            size, merged = size + n, merged.unionByName(run)
+        runs.append((size, merged if merged is frontier else cut(merged)))
+        if depth == max_depth:
             break
-        reached = cut_lineage(reached.unionByName(frontier))
-    return reached
+        depth += 1
+        reached = reduce(DataFrame.unionByName, (run for _, run in runs))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct().join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(step)
+        size = frontier.count()
+    return reduce(DataFrame.unionByName, (run for _, run in runs)) if runs else frontier
 
 
 def cyclic_edges(edges: DataFrame, reach: DataFrame) -> DataFrame:
@@ -306,6 +321,12 @@ def h01_closure(spark, sf_dir):
     return closure(edges, starts)
 
 
+def h01_closure_all(spark, sf_dir):
+    """The closure from every document."""
+    docs = _graph(spark, sf_dir)
+    return closure(cut_lineage(_related_edges(docs)), docs.select(F.col("path").alias("start")))
+
+
 def h02_links(spark, sf_dir):
     return checkable_links(_graph(spark, sf_dir))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quern.operators import records
 from quern.operators import snapshots as op
 
-QUERIES = {n: getattr(op, n) for n in ("h01_closure", "h02_links", "h06_fingerprints", "h09_snapshot_diff", "h09_severity", "h13_impact", "h15_carryover", "h18_moved", "h23_states", "h24_coverage", "h26_partial_update", "h30_calibration", "h31_gate", "j07_unresolved", "j08_cycles", "j13_surface", "j15_impacted")} | records.QUERIES
+QUERIES = {n: getattr(op, n) for n in ("h01_closure", "h01_closure_all", "h02_links", "h06_fingerprints", "h09_snapshot_diff", "h09_severity", "h13_impact", "h15_carryover", "h18_moved", "h23_states", "h24_coverage", "h26_partial_update", "h30_calibration", "h31_gate", "j07_unresolved", "j08_cycles", "j13_surface", "j15_impacted")} | records.QUERIES
 
 
 def _snap(name: str, where: str) -> str:

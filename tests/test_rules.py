@@ -159,3 +159,19 @@ def test_audit_and_pipeline_see_every_rule(spark, sf_dir):
     assert sum(r["n"] for r in queries["f14_all_summary"](spark, sf_dir).where("facet = 'severity'").collect()) == want.total()
     gone = {r["fid"] for r in ids if r["place"].startswith("skills/")}
     assert Counter(r["rule"] for r in queries["f16_all_suppression"](spark, sf_dir).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
+
+
+def test_closure_has_no_depth_of_its_own(spark):
+    n = 56
+    edges = sn.cut_lineage(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)] + [(f"n{n}", "n0")], "src string, dst string").coalesce(1))
+    start = spark.createDataFrame([("n0",)], "start string").coalesce(1)
+    reach = sn.closure(edges, start)
+    assert {(r["node"], r["depth"]) for r in reach.collect()} == {(f"n{i}", i) for i in range(n + 1)}
+    assert {(r["src"], r["dst"]) for r in sn.cyclic_edges(edges, reach).collect()} == {(f"n{n}", "n0")}
+    assert sn.closure(edges, start, 2).count() == 3 and sn.closure(edges, start.where("false")).count() == 0
+
+
+def test_closure_of_every_document(spark, sf_dir):
+    queries = entry.queries()
+    some, every = ({tuple(r) for r in queries[k](spark, sf_dir).select("start", "node", "depth").collect()} for k in ("h01_closure", "h01_closure_all"))
+    assert some < every and {s for s, _, _ in every} == {r["path"] for r in sn._graph(spark, sf_dir).collect()}
