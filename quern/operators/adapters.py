@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions.instants import read_times
-from quern.session import table
+from quern.session import evaluated, table
 
 UNNAMED = "unknown"
 ROLES = ("user", "assistant")
+#: Other words for the roles in stored messages.
+SPELLINGS = {"human": "user", "ai": "assistant", "model": "assistant"}
 EVENT = "struct<kind:string,role:string,text:string,skill:string,route:string,tool:string>"
 
 
@@ -160,22 +162,30 @@ def rollout_events(records: DataFrame, since=None) -> DataFrame:
     return emit(rows, "codex", events, since)
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """Rows whose ``data`` is a JSON object, also one encoded twice, as ``d``."""
+    rows = evaluated(rows, {"v": F.try_parse_json("data")}).drop("data")
+    inner = F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(get(F.col("v"), "$"))).otherwise(F.col("v"))
+    return evaluated(rows, {"d": inner}).drop("v").where(F.col("d").isNotNull() & is_object(F.col("d")))
+
+
 def part_events(messages: DataFrame, parts: DataFrame, since_ms: int | None = None) -> DataFrame:
     """Events of stored messages ``id, session_id, time_created, data`` and their parts.
 
-    Parts are put in order inside their message; a message without parts is kept.
+    Parts are put in order inside their message; a message without parts is kept. A document encoded twice is read
+    as the inner one, and a role may have another name, capitals and space around it.
     """
-    decoded = lambda c: F.try_parse_json(c)
-    p = parts.select("message_id", "time_created", "id", decoded("data").alias("d")).where(F.col("d").isNotNull() & is_object(F.col("d")))
+    p = decoded(parts.select("message_id", "time_created", "id", "data"))
     kind, state = get(F.col("d"), "$.type"), get(F.col("d"), "$.state.status")
     skill = F.when((kind == "tool") & (get(F.col("d"), "$.tool") == "skill"), F.nullif(string_at(F.col("d"), "$.state.input.name"), F.lit("")))
     failure = F.when((kind == "tool") & (state == "error"), F.coalesce(F.nullif(string_at(F.col("d"), "$.tool"), F.lit("")), F.lit(UNNAMED)))
     said = F.when(kind == "text", F.nullif(string_at(F.col("d"), "$.text"), F.lit("")))
     p = p.select("message_id", F.struct("time_created", "id", (kind == "text").alias("is_text"), said.alias("said"), skill.alias("skill"), failure.alias("failure")).alias("p"))
     grouped = p.groupBy("message_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    m = messages.select("id", "session_id", "time_created", decoded("data").alias("d")).where(F.col("d").isNotNull() & is_object(F.col("d")) & F.col("time_created").isNotNull())
+    m = decoded(messages.where("time_created is not null").select("id", "session_id", "time_created", "data"))
     m = m.join(grouped, F.col("id") == F.col("message_id"), "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<time_created:bigint,id:string,is_text:boolean,said:string,skill:string,failure:string>>")))
-    role = get(F.col("d"), "$.role")
+    role = F.lower(F.regexp_replace(get(F.col("d"), "$.role"), r"(?U)^\s+|\s+$", ""))
+    role = F.coalesce(*(F.when(role == k, v) for k, v in SPELLINGS.items()), role)
     rows = m.select(F.col("session_id").alias("file"), F.struct("time_created", "id").alias("pos"), F.timestamp_millis(millis_of(F.col("time_created"))).alias("at"), F.when(role.isin(*ROLES), role).alias("role"), "parts")
     texts = F.filter(F.transform("parts", lambda x: x["said"]), lambda t: t.isNotNull())
     whole = F.when((F.col("role") == "user") & (F.size(texts) > 0), F.array_join(texts, "\n"))

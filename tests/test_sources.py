@@ -9,6 +9,7 @@ import stat
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import adapters
 from quern.operators import friction as fr
 from quern.sources import files, sinks, stores
 
@@ -137,3 +138,16 @@ def test_backends_and_placeholders():
     assert files.substitute_shas("x {{fixture:sha:baseline}} {{fixture:sha:commits[0]}}", "b", ["c"]) == "x b c"
     with pytest.raises(files.Refused):
         files.substitute_shas("{{fixture:sha:commits[1]}}", "b", ["c"])
+
+
+def test_part_events_of_documents_encoded_twice_and_roles_in_any_spelling(spark):
+    twice = lambda o: json.dumps(json.dumps(o))
+    messages = [("m1", json.dumps({"role": "User"})), ("m2", twice({"role": " assistant"})), ("m3", twice({"role": "USER "})), ("m4", json.dumps("no document")), ("m5", json.dumps({"role": "tool"})), ("m6", json.dumps({"role": "model"}))]
+    parts = [("m1", "p1", twice({"type": "text", "text": "hello"})), ("m2", "p2", json.dumps({"type": "text", "text": "yes"})), ("m2", "p3", twice({"type": "tool", "tool": "bash", "state": {"status": "error"}})), ("m3", "p4", json.dumps({"type": "text", "text": "on"})), ("m5", "p5", json.dumps({"type": "text", "text": "x"})), ("m6", "p6", json.dumps({"type": "text", "text": "z"}))]
+    m = spark.createDataFrame([(i, "s", 1_700_000_000_000 + k, d) for k, (i, d) in enumerate(messages)], "id string, session_id string, time_created bigint, data string")
+    p = spark.createDataFrame([(i, 1_700_000_000_000 + k, n, d) for k, (i, n, d) in enumerate(parts)], "message_id string, time_created bigint, id string, data string")
+    rows = adapters.part_events(m, p).select("seq.pos.id", "seq.sub", "kind", "role", "text", "tool").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("m1", 0, "turn", "user", None, None), ("m1", 1, "text", None, "hello", None), ("m2", 0, "turn", "assistant", None, None), ("m2", 1, "error", None, None, "bash"), ("m3", 0, "turn", "user", None, None), ("m3", 1, "text", None, "on", None),
+        ("m6", 0, "turn", "assistant", None, None),
+    ]
