@@ -111,6 +111,53 @@ def child_table(nodes: DataFrame, schema_path: str) -> DataFrame:
     return objects.join(fields, ["tbl", "row_id", "label"], "left").select("tbl", "row_id", "label", parent_of(parent_of(F.col("label"))).alias("parent_label"), "path", "fields")
 
 
+TABLES_SCHEMA = "tbl string, row_id bigint, schema_path string, label string, parent_label string, path string, fields array<struct<label:string,name:string,kind:string,value:string>>"
+
+
+def table_rows(document, root: str):
+    """``(schema_path, label, parent label, path, fields)``: the document and every object in an array, each with its scalars.
+
+    A scalar belongs to the nearest row above it, so those of nested objects and of arrays of scalars
+    do too; its name is its path from there, and its label tells two of the same name apart.
+    """
+    rows: dict[str, tuple] = {}
+    owner: dict[str, str] = {}  # label of a container -> label of the row it belongs to
+    for path, schema, label, value, in_array in walk(document, root):
+        home = owner.get(label.rpartition(".")[0])
+        if type(value) is dict or type(value) is list:
+            if home is None or (in_array and type(value) is dict):
+                rows[label] = (schema, label, home, path, [])
+                home = label
+            owner[label] = home
+        elif home is not None:
+            above, kind = rows[home], _KINDS[type(value)]
+            rest = path[len(above[3]) :]
+            shown = None if kind == "null" else value if kind == "string" else json.dumps(value)
+            above[4].append((label, rest[1:] if rest[0] == "." else rest, kind, shown))
+    return rows.values()
+
+
+def array_tables(df: DataFrame) -> DataFrame:
+    """Child tables of all schema paths as one: a row per object in an array, and one per document as the parent of the outermost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tbl", "row_id", "schema_path", "label", "parent_label", "path", "fields"]
+        field = pa.struct([(n, pa.string()) for n in ("label", "name", "kind", "value")])
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(field)]
+        for batch in batches:
+            rows: list[tuple] = []
+            for tbl, row_id, root, unwrap, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for schema, label, parent, path, fields in table_rows(_read(text, unwrap), root):
+                    fields = [{"label": at, "name": arrow_safe(name), "kind": kind, "value": shown and arrow_safe(shown)} for at, name, kind, shown in reversed(fields)]
+                    rows.append((tbl, row_id, arrow_safe(schema), label, parent, arrow_safe(path), fields))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names=names)
+
+    return df.select("tbl", "row_id", "root", "unwrap", "json").where("json is not null").mapInArrow(run, TABLES_SCHEMA)
+
+
 def nested_documents(spark, sf_dir: str) -> DataFrame:
     """The three nested columns as ``tbl, row_id, root, unwrap, json``."""
 
@@ -131,11 +178,16 @@ def p4_schema_paths(spark, sf_dir: str) -> DataFrame:
     return nodes.groupBy("tbl", "schema_path", "kind").agg(F.count("*").alias("nodes"), F.count_distinct("row_id").alias("rows"))
 
 
+def p4_tables(spark, sf_dir: str) -> DataFrame:
+    """The child tables of all three columns, one below the other."""
+    return array_tables(nested_documents(spark, sf_dir))
+
+
 def p4_blocks(spark, sf_dir: str) -> DataFrame:
     """Child table of the blocks in ``session_one.message.content``."""
-    return child_table(dewey_nodes(nested_documents(spark, sf_dir).where("tbl = 'session_one'")), "content[]")
+    return array_tables(nested_documents(spark, sf_dir).where("tbl = 'session_one'")).where("schema_path = 'content[]'").drop("schema_path")
 
 
 def p4_hunks(spark, sf_dir: str) -> DataFrame:
     """Child table of the hunks in a tool part's metadata, linked to their files."""
-    return child_table(dewey_nodes(nested_documents(spark, sf_dir).where("tbl = 'oc_part'")), "data.state.metadata.files[].hunks[]")
+    return array_tables(nested_documents(spark, sf_dir).where("tbl = 'oc_part'")).where("schema_path = 'data.state.metadata.files[].hunks[]'").drop("schema_path")

@@ -22,6 +22,7 @@ QUERIES = {
     "p3_all": instants.p3_all,
     "p4_found": nested.p4_found,
     "p4_schema_paths": nested.p4_schema_paths,
+    "p4_tables": nested.p4_tables,
     "p4_blocks": nested.p4_blocks,
     "p4_hunks": nested.p4_hunks,
 }

@@ -179,3 +179,22 @@ def test_array_objects_are_dewey_nodes(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(nested, "dewey_nodes", lambda *a, real=nested.dewey_nodes, **k: (seen.append(1), real(*a, **k))[1])
     assert {(r["row_id"], r["path"]) for r in nested.array_objects(df).collect()} == {(r, p) for _, r, p, *_ in labelled} and seen
+
+
+def test_tables_hold_every_scalar(spark, sf_dir):
+    text = '{"r":1,"a":[{"i":{"x":"u"},"i.x":"v","y[]":null,"t":[1,"w"],"f":[{"h":[{"n":true}]}]}]}'
+    df = spark.createDataFrame([("t", 0, "data", True, text), ("t", 1, "data", True, '"plain"')], "tbl string, row_id bigint, root string, unwrap boolean, json string")
+    got = {r["schema_path"]: (r["label"], r["parent_label"], sorted((f["name"], f["value"]) for f in r["fields"] if f["value"])) for r in nested.array_tables(df).collect()}
+    assert got == {
+        "data": ("0", None, [("r", "1")]), "data.a[]": ("0.1.0", "0", [("i.x", "u"), ("i.x", "v"), ("t[0]", "1"), ("t[1]", "w")]),
+        "data.a[].f[]": ("0.1.0.4.0", "0.1.0", []), "data.a[].f[].h[]": ("0.1.0.4.0.0.0", "0.1.0.4.0", [("n", "true")]),
+    }
+    tables = nested.p4_tables(spark, sf_dir).cache()
+    found = tables.where("endswith(schema_path, '[]')")
+    assert {tuple(r) for r in found.select("tbl", "row_id", "path").collect()} == {tuple(r) for r in nested.p4_found(spark, sf_dir).collect()}
+    rows = {(r["tbl"], r["row_id"], r["label"]): r for r in tables.collect()}
+    assert all(r["parent_label"] is None or (r["tbl"], r["row_id"], r["parent_label"]) in rows for r in rows.values())
+    documents = nested.nested_documents(spark, sf_dir)
+    scalars = nested.dewey_nodes(documents).where("kind not in ('object', 'array') and label <> '0'").count()
+    assert scalars == sum(len(r["fields"]) for r in rows.values())
+    assert nested.p4_hunks(spark, sf_dir).count() == tables.where("tbl = 'oc_part' and schema_path = 'data.state.metadata.files[].hunks[]'").count() > 0
