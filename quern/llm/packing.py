@@ -8,10 +8,10 @@ bins of that same residual one without the item's source is preferred, so source
 where this costs no room.
 
 Copies cannot always be kept apart without waste: a cluster with more members than there
-are bins must share. A cluster is therefore coloured so that no colour has more than
-half as many members as the bins that the items need at least; each colour is a bit of
-its own, and only members of one colour exclude each other. Small clusters have one
-colour, that is, copies never meet.
+are bins must share. Such a cluster is therefore coloured so that no colour has more
+members than the bins that the items need at least; each colour is a bit of its own, and
+only members of one colour exclude each other. A cluster with no more members than
+these bins has one colour, that is, its copies never meet.
 
 Members of clusters with more than a ``CROWDED``-th of the bins are placed first, while
 every bin still has room; were they left to the end, as their size may ask, each would
@@ -39,8 +39,6 @@ from quern.llm.tokens import count_tokens
 from quern.session import table
 
 GROUP = 20_000
-#: How many bins the search for another source looks at among bins of equal room.
-TIES = 8
 CROWDED = 40
 
 
@@ -60,7 +58,7 @@ def pack_items(items: list[tuple], capacity: int) -> list[tuple]:
     for r in rests:
         if r[3] is not None and r[0]:
             members[r[3]] += 1
-    share = max(1, need // 2)
+    share = need
     bit_of: dict = {}
     seen: dict = defaultdict(int)
     source_bit: dict = {}
@@ -70,6 +68,7 @@ def pack_items(items: list[tuple], capacity: int) -> list[tuple]:
     open_bins: list[tuple[int, int]] = []  # (residual, bin) in order
     clusters: dict[int, int] = {}
     sources: dict[int, int] = {}
+    equal: dict[int, dict[int, list[int]]] = {}  # residual -> bitmap of sources -> bins in order
     for size, key, source, cluster, piece in rests:
         wanted = 0
         if members.get(cluster, 0) > 1 and size:
@@ -82,14 +81,15 @@ def pack_items(items: list[tuple], capacity: int) -> list[tuple]:
             at += 1
         if at < len(open_bins):
             room = open_bins[at][0]
-            for other in range(at, min(at + TIES, len(open_bins))):
-                if open_bins[other][0] != room:
-                    break
-                b = open_bins[other][1]
-                if not clusters[b] & wanted and not sources[b] & origin:
-                    at = other
-                    break
-            room, b = open_bins.pop(at)
+            alike = equal[room]
+            # the first compatible bin of each bitmap without the source
+            mixed = (next((b for b in group if not clusters[b] & wanted), None) for held, group in alike.items() if not held & origin)
+            b = min((b for b in mixed if b is not None), default=open_bins[at][1])
+            del open_bins[bisect_left(open_bins, (room, b))]
+            group = alike[sources[b]]
+            del group[bisect_left(group, b)]
+            if not group:
+                del alike[sources[b]]
         else:
             room, b = capacity, bins
             bins += 1
@@ -97,6 +97,7 @@ def pack_items(items: list[tuple], capacity: int) -> list[tuple]:
         clusters[b] |= wanted
         sources[b] |= origin
         insort(open_bins, (room - size, b))
+        insort(equal.setdefault(room - size, {}).setdefault(sources[b], []), b)
         placed.append((b, key, piece, piece * capacity, size))
     return placed
 

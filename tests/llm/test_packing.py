@@ -56,3 +56,15 @@ def test_groups_keep_all(spark):
     for c in (1, 2):
         assert sum(r["n_tokens"] for r in got if r["capacity_id"] == c) == sum(i % 700 for i in range(500)) and {r["doc_id"] for r in got if r["capacity_id"] == c} == set(range(500))
     assert pack_documents(sized.limit(0), 0, [(1, 100)]).count() == 0
+
+
+def test_copies_never_meet_while_bins_suffice():
+    items = [(i, 4, 0, 7) for i in range(6)] + [(6 + i, 4, 1, None) for i in range(9)]
+    placed = pack_items(items, 10)
+    assert check(items, placed, 10) == 8 and len({b for b, key, *_ in placed if key < 6}) == 6
+
+
+def test_another_source_is_found_among_all_bins_of_equal_room():
+    items = [(i, 6, "a", None) for i in range(30)] + [(30, 6, "b", None), (31, 4, "a", None)]
+    at = {key: b for b, key, *_ in pack_items(items, 10)}
+    assert at[31] == at[30]
