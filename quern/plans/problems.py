@@ -23,6 +23,7 @@ QUERIES = {
     "p4_found": nested.p4_found,
     "p4_schema_paths": nested.p4_schema_paths,
     "p4_tables": nested.p4_tables,
+    "p4_fields": nested.p4_fields,
     "p4_blocks": nested.p4_blocks,
     "p4_hunks": nested.p4_hunks,
 }
@@ -63,19 +64,26 @@ judged as (select a.*, case when count(*) over (partition by a.stream, a.file_na
 changes as (select stream, file_name, record_kind, field, 'retyped' as change from retyped union all select stream, file_name, record_kind, field, case when now is null then 'removed' else 'renamed' end from judged
   union all select stream, file_name, record_kind, field, 'added' from strange s where not exists (from judged j where j.stream = s.stream and j.file_name = s.file_name and j.record_kind = s.record_kind and j.now = s.field))
 """
+#: Every node of the nested columns; ``owner`` is the label of the row it belongs to, ``name`` its path from there.
+_NODES = """
+with recursive text as (select 'session_one' as tbl, row_id, 'content' as path, message.content as t from session_one union all select 'oc_part', row_id, 'data', data from oc_part union all select 'oc_message', row_id, 'data', data from oc_message),
+once as (select tbl, row_id, path, case when json_valid(t) then t::json end as j from text),
+src as (select tbl, row_id, path, case when path = 'data' and json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then (j ->> '$')::json end else j end as j from once),
+tree as (select tbl, row_id, path, path as schema_path, '0' as label, null::varchar as owner, '' as name, false as in_array, j, json_type(j) as t from src where j is not null
+  union all select tbl, row_id, path || s, schema_path || p, label || '.' || i, case when home then label else owner end, case when home then ltrim(s, '.') else name || s end, p = '[]', c, json_type(c) from (
+    select *, '.' || k as s, '.' || k as p, j -> ('$."' || k || '"') as c from (select *, t = 'OBJECT' and (in_array or owner is null) as home, unnest(json_keys(j)) as k, unnest(range(len(json_keys(j)))) as i from tree where t = 'OBJECT')
+    union all select *, '[' || i || ']', '[]', j -> ('$[' || i || ']') from (select *, owner is null as home, null as k, unnest(range(json_array_length(j)::bigint)) as i from tree where t = 'ARRAY'))),
+node as (select *, case t when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)
+"""
+_COLUMNS = "select row_id, label, owner as parent_label, path, {fields} from node "
 ORACLES: dict[str, str] = {
     "p1_found": _ORPHANS + "select tbl, row_id, field, reason from orph where reason is not null",
     "p1_by_month": _ORPHANS + "select tbl, field, reason, strftime(loaded_at, '%Y-%m') as month, count(*) as n from orph where reason is not null group by all",
     "p2_found": _DRIFT + "select * from changes",
     "p2_unions": _DRIFT + "select stream, record_kind, field, json_type, sum(n)::bigint as records, count(*) as files, min(file_name) as first_file, max(file_name) as last_file from (select r.stream, r.file_name, r.record_kind, f.field, f.json_type, count(*) as n from rec r join fld f using (stream, row_id) where record_kind is not null and f.json_type is not null group by all) group by all",
-    "p4_found": """
-with recursive text as (select 'session_one' as tbl, row_id, 'content' as path, message.content as t from session_one union all select 'oc_part', row_id, 'data', data from oc_part union all select 'oc_message', row_id, 'data', data from oc_message),
-once as (select tbl, row_id, path, case when json_valid(t) then t::json end as j from text),
-src as (select tbl, row_id, path, case when path = 'data' and json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then (j ->> '$')::json end else j end as j from once),
-node as (select tbl, row_id, path, j, false as hit from src where json_type(j) in ('OBJECT', 'ARRAY')
-  union all select tbl, row_id, path, j, hit from (
-    select tbl, row_id, path || '.' || k as path, j -> ('$."' || k || '"') as j, false as hit from (select *, unnest(json_keys(j)) as k from node where json_type(j) = 'OBJECT')
-    union all select tbl, row_id, path || '[' || i || ']', j -> ('$[' || i || ']'), json_type(j -> ('$[' || i || ']')) = 'OBJECT' from (select *, unnest(range(json_array_length(j)::bigint)) as i from node where json_type(j) = 'ARRAY'))
-  where json_type(j) in ('OBJECT', 'ARRAY'))
-select tbl, row_id, path from node where hit""",
+    "p4_found": _NODES + "select tbl, row_id, path from node where kind = 'object' and in_array",
+    "p4_schema_paths": _NODES + 'select tbl, schema_path, kind, count(*) as nodes, count(distinct row_id) as "rows" from node group by all',
+    "p4_fields": _NODES + "select n.tbl, n.row_id, o.schema_path, o.label, o.owner as parent_label, n.label as at, n.name, n.kind, case when n.kind <> 'null' then n.j ->> '$' end as value from node n join node o on o.tbl = n.tbl and o.row_id = n.row_id and o.label = n.owner where n.kind not in ('object', 'array')",
+    "p4_blocks": _NODES + _COLUMNS.format(fields=", ".join(f"""case when json_type(j -> '$.{f}') not in ('OBJECT', 'ARRAY', 'NULL') then j ->> '$.{f}' end as {f}""" for f in ("type", "text", "id", "name", "tool_use_id", "content"))) + "where tbl = 'session_one' and schema_path = 'content[]' and kind = 'object'",
+    "p4_hunks": _NODES + _COLUMNS.format(fields="j ->> '$.start' as start") + "where tbl = 'oc_part' and schema_path = 'data.state.metadata.files[].hunks[]' and kind = 'object'",
 }

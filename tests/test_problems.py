@@ -169,6 +169,25 @@ def test_dewey_labels(spark):
     assert rows == {"0.0.0.0.0.0": "0.0.0.0"}
 
 
+def test_any_depth_and_any_number(spark):
+    deep, digits = 100_000, "9" * 5000
+    texts = ["[" * deep + '{"a": 1}' + "]" * deep, '{"n":[{"k":%s,"x":1.50}]}' % digits, '{"a":' * 20_000 + "[{}]" + "}" * 20_000, '[{"a":NaN}]', "[" * deep, '[{"a":1},]', '{"a.b":[{"c]":1}],"a":{"b":[{}]}}']
+    df = spark.createDataFrame([("t", i, "data", True, t) for i, t in enumerate(texts)], "tbl string, row_id bigint, root string, unwrap boolean, json string")
+    assert [(r["row_id"], len(r["path"])) for r in nested.array_objects(df).orderBy("row_id", "path").collect()] == [(0, 4 + 3 * deep), (1, len("data.n[0]")), (2, 4 + 2 * 20_000 + 3), (6, 11), (6, 11)]
+    rows = {(r["row_id"], r["schema_path"]): {f["name"]: f["value"] for f in r["fields"]} for r in nested.array_tables(df.where("row_id in (1, 6)")).collect()}
+    assert rows[1, "data.n[]"] == {"k": digits, "x": "1.50"} and rows[6, 'data["a.b"][]'] == {'["c]"]': "1"} and rows[6, "data.a.b[]"] == {}
+    assert {r["schema_path"] for r in nested.schema_paths(df.where("row_id = 6")).collect()} == {"data", 'data["a.b"]', 'data["a.b"][]', 'data["a.b"][]["c]"]', "data.a", "data.a.b", "data.a.b[]"}
+
+
+def test_deep_reader_like_json():
+    for text in ("[]", "{}", '[[],{}]', '{"a":[1,2,{"b":null}],"a":3}', ' [ 1 , "x\\n\\ud83d\\ude00" , true ] ', "3", '"s"', '{"a":{}}', "[1e5,-0.5]"):
+        assert nested.read_deep(text) == nested._loads(text)
+    for text in ("[1,]", '{"a":1,}', "[1 2]", '{"a" 1}', "{a:1}", "[", '{"a":}', "[1]x", "", "{,}", "[,1]", "tru", "01", '"a', "[NaN]", "}", "[}"):
+        with pytest.raises(ValueError):
+            nested.read_deep(text)
+        assert nested._read(text, False) is None
+
+
 def test_array_objects_are_dewey_nodes(spark, monkeypatch):
     texts = ['{"a":[{"b":[{},1]}]}', '"{\\"a\\":\\u005b{}]}"']
     df = spark.createDataFrame([("t", i, "data", True, t) for i, t in enumerate(texts)], "tbl string, row_id bigint, root string, unwrap boolean, json string")
@@ -186,7 +205,7 @@ def test_tables_hold_every_scalar(spark, sf_dir):
     df = spark.createDataFrame([("t", 0, "data", True, text), ("t", 1, "data", True, '"plain"')], "tbl string, row_id bigint, root string, unwrap boolean, json string")
     got = {r["schema_path"]: (r["label"], r["parent_label"], sorted((f["name"], f["value"]) for f in r["fields"] if f["value"])) for r in nested.array_tables(df).collect()}
     assert got == {
-        "data": ("0", None, [("r", "1")]), "data.a[]": ("0.1.0", "0", [("i.x", "u"), ("i.x", "v"), ("t[0]", "1"), ("t[1]", "w")]),
+        "data": ("0", None, [("r", "1")]), "data.a[]": ("0.1.0", "0", [('["i.x"]', "v"), ("i.x", "u"), ("t[0]", "1"), ("t[1]", "w")]),
         "data.a[].f[]": ("0.1.0.4.0", "0.1.0", []), "data.a[].f[].h[]": ("0.1.0.4.0.0.0", "0.1.0.4.0", [("n", "true")]),
     }
     tables = nested.p4_tables(spark, sf_dir).cache()
