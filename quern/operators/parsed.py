@@ -139,6 +139,9 @@ def vocabulary_findings(targets: DataFrame) -> DataFrame:
     return rows.select(*rules.finding("SI-S004", "WARN", "NEEDS_JUDGMENT", F.concat_ws(":", "rel", F.col("line_no").cast("string")), F.concat(F.lit("tied to "), F.col("word"))))
 
 
+rules.INTERFACE_RULES["SI-S004"] = lambda targets, paths: vocabulary_findings(targets)
+
+
 def headers(docs: DataFrame) -> DataFrame:
     """Name, description and how the header was read."""
 
@@ -172,7 +175,7 @@ def walk_back_edges(edges: DataFrame, by: str, start: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return rules.targets_of(table(spark, sf_dir, "documents"))
+    return rules.audit_targets(spark, sf_dir)
 
 
 def a34_declarations(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.session import table
+from quern.session import cut_lineage, evaluated, table
 
 #: Grade of a severity, and the actions a summary counts.
 SEVERITY_RANK = {"BLOCK": 0, "WARN": 1, "INFO": 2}
@@ -38,6 +38,27 @@ def targets_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce("source", F.lit("")).alias("project"), F.concat_ws("#", F.coalesce("path", F.lit("")), F.col("doc_id").cast("string")).alias("rel"), "path", "skill_name", kind.alias("kind"), category.alias("category"), F.col("text").alias("content"))
 
 
+def log_targets(session: DataFrame, part: DataFrame, stored: DataFrame) -> DataFrame:
+    """What was logged, as targets: stored sessions and said parts as memories, tool calls on a path as notes for any runtime.
+
+    A stored session is a front matter of its slug, title and version, a part is a memory of its session, and a
+    line's calls are one note, a call a line. Unreadable JSON, and calls without name or path, make none.
+    """
+    empty = F.lit(None).cast("string")
+    shape = lambda project, name, kind, category, content: (F.coalesce(project, F.lit("")).alias("project"), F.concat(F.lit(name + "#"), F.col("row_id").cast("string")).alias("rel"), empty.alias("path"), empty.alias("skill_name"), F.lit(kind).alias("kind"), F.lit(category).alias("category"), content.alias("content"))
+    entries = F.concat_ws("\n", *(F.concat(F.lit(key + ": "), F.col(c)) for key, c in (("name", "slug"), ("description", "title"), ("type", "version"))))
+    sessions = stored.select(*shape(F.col("directory"), "session", "memory", "memory", F.concat(F.lit("---\n"), entries, F.lit("\n---\n"))))
+    get = lambda v, at, kind="string": F.try_variant_get(v, at, kind)
+    lines = evaluated(session.where(F.contains("message.content", F.lit("tool_use"))).select("row_id", "cwd", F.col("message.content").alias("content")), {"v": F.try_parse_json("content")})
+    called = F.transform(F.filter(get(F.col("v"), "$", "array<variant>"), lambda b: get(b, "$.type") == "tool_use"), lambda b: F.concat(F.lit("`"), get(b, "$.name"), F.lit("` on `"), get(b, "$.input.path"), F.lit("`")))
+    notes = evaluated(lines, {"called": F.array_compact(called)}).where("size(called) > 0").select(*shape(F.col("cwd"), "line", "agents_md", "instruction", F.array_join("called", "\n")))
+    parts = evaluated(part.select("row_id", "session_id", "data"), {"v": F.try_parse_json("data")})
+    parts = evaluated(parts, {"d": F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(get(F.col("v"), "$"))).otherwise(F.col("v"))})
+    text = get(F.col("d"), "$.text", "variant")
+    said = parts.where((get(F.col("d"), "$.type") == "text") & (F.schema_of_variant(text) == "STRING")).select(*shape(F.col("session_id"), "part", "memory", "memory", get(F.col("d"), "$.text")))
+    return sessions.unionByName(notes).unionByName(said)
+
+
 def paths_of(targets: DataFrame) -> DataFrame:
     """Files and directories that exist, per project."""
     files = targets.where("path is not null").select("project", "path").distinct()
@@ -145,32 +166,48 @@ def claims_of(targets: DataFrame) -> DataFrame:
     return claims.withColumn("subjects", tx.subjects_of(F.col("line"))).where("size(subjects) > 0")
 
 
-def opposing_claims(claims: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Pairs of opposite polarity within a project whose subjects overlap by ``overlap``.
+def claim_classes(claims: DataFrame) -> DataFrame:
+    """Claims of a project with equal subjects and polarity are one class: ``cid``, how many they are and the first."""
+    classes = claims.groupBy("project", "polarity", "subjects").agg(F.count("*").alias("members"), F.min(F.struct("rel", "line_no")).alias("first"))
+    return cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
+
 
-    Claims with equal subjects and polarity are one class, so copies are never paired with each
-    other; classes meet only on a subject in the prefix that a pair with this overlap must share,
-    rarest subjects first, so a subject in every line joins almost nothing.
+def opposing_claims(classes: DataFrame, overlap: float = OVERLAP, most: int = 1_000_000) -> DataFrame:
+    """Pairs of classes of opposite polarity within a project whose subjects overlap by ``overlap``.
+
+    Copies are never paired with each other. Classes meet on a shared subject; what they share is counted,
+    which with both sizes gives the overlap exactly, so no list of subjects is carried along. A subject
+    on which more than ``most`` pairs would meet is split: its prohibitions by number, its permissions sent to each part.
     """
-    classes = claims.groupBy("project", "polarity", "subjects").agg(F.count("*").alias("members"), F.min(F.struct("rel", "line_no")).alias("first"))
-    rarity = classes.select("project", F.explode("subjects").alias("subject")).groupBy("project", "subject").agg(F.count("*").alias("df"))
-    each = classes.select("project", "polarity", "subjects", F.explode("subjects").alias("subject")).join(rarity, ["project", "subject"])
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("project", "polarity", "subjects").orderBy("df", "subject")))
-    prefix = ranked.where(F.col("rank") <= F.size("subjects") - F.ceil(F.lit(overlap) * F.size("subjects")) + 1).select("project", "polarity", "subjects", "subject")
-    a = prefix.where("polarity = 'prohibit'").select("project", "subject", F.col("subjects").alias("a"))
-    b = prefix.where("polarity = 'allow'").select("project", "subject", F.col("subjects").alias("b"))
-    sizes = F.least(F.size("a"), F.size("b")) >= F.lit(overlap) * F.greatest(F.size("a"), F.size("b"))
-    pairs = a.join(b, ["project", "subject"]).where(sizes).select("project", "a", "b").distinct().withColumn("similarity", tx.jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= overlap)
-    left = classes.where("polarity = 'prohibit'").select("project", F.col("subjects").alias("a"), F.col("first").alias("prohibits"), F.col("members").alias("prohibit_members"))
-    right = classes.where("polarity = 'allow'").select("project", F.col("subjects").alias("b"), F.col("first").alias("allows"), F.col("members").alias("allow_members"))
-    return pairs.join(left, ["project", "a"]).join(right, ["project", "b"])
+    each = classes.select("project", "polarity", "cid", F.size("subjects").alias("size"), F.explode("subjects").alias("subject"))
+    of = lambda p: F.count_if(F.col("polarity") == p)
+    both = each.groupBy("project", "subject").agg(of("prohibit").alias("p"), of("allow").alias("q")).where("p > 0 and q > 0")
+    each = each.join(both.select("project", "subject", F.ceil(F.col("p") * F.col("q") / F.lit(most)).cast("int").alias("parts")), ["project", "subject"])
+    a = each.where("polarity = 'prohibit'").select("project", "subject", F.pmod("cid", "parts").cast("int").alias("part"), F.col("cid").alias("a"), F.col("size").alias("na"))
+    b = each.where("polarity = 'allow'").select("project", "subject", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("size").alias("nb"))
+    near = F.least("na", "nb") >= F.lit(overlap) * F.greatest("na", "nb")
+    shared = a.join(b, ["project", "subject", "part"]).where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    pairs = shared.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= overlap)
+    left = classes.where("polarity = 'prohibit'").select(F.col("cid").alias("a"), F.col("first").alias("prohibits"), F.col("members").alias("prohibit_members"))
+    right = classes.where("polarity = 'allow'").select(F.col("cid").alias("b"), F.col("first").alias("allows"), F.col("members").alias("allow_members"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _at(first: str):
+    return F.concat_ws(":", F.col(first + ".rel"), F.col(first + ".line_no").cast("string"))
 
 
 def rule_contradiction(targets: DataFrame, paths: DataFrame) -> DataFrame:
-    """Each pair of classes once, at its first prohibition."""
-    pairs = opposing_claims(claims_of(targets))
-    at = lambda s: F.concat_ws(":", F.col(s + ".rel"), F.col(s + ".line_no").cast("string"))
-    return pairs.select(*finding("CA-C001", "WARN", "REPORT_ONLY", at("prohibits"), F.concat(F.lit("against "), at("allows"))))
+    """Each pair of classes once, at its first prohibition, with how many claims stand on both sides."""
+    pairs = opposing_claims(claim_classes(claims_of(targets)))
+    what = F.format_string("against %s (%d prohibit, %d allow)", _at("allows"), "prohibit_members", "allow_members")
+    return pairs.select(*finding("CA-C001", "WARN", "REPORT_ONLY", _at("prohibits"), what))
+
+
+def claim_members(claims: DataFrame) -> DataFrame:
+    """Every claim with the first of its class, by which contradictions name the class: ``first, polarity, rel, line_no``."""
+    first = claims.groupBy("project", "polarity", "subjects").agg(F.min(F.struct("rel", "line_no")).alias("first"))
+    return claims.join(first, ["project", "polarity", "subjects"]).select(_at("first").alias("first"), "polarity", "rel", "line_no")
 
 
 def front_entries(targets: DataFrame, keep: list[str]) -> DataFrame:
@@ -241,34 +278,51 @@ def masked_findings(findings: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ interface audit (K)
 
 
-def lines_outside_fences(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """K1: lines outside code fences; any fence line toggles, numbering from 1."""
+def _fenced(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """K1: ``keep`` and ``outside``: the lines outside code fences as ``line_no, line``; any fence line toggles.
+
+    Fence lines cut a text into stretches of which every other one lies outside, so each line is taken once, inside its row.
+    """
     fence = r"^(?:`{3,}|~{3,})"
-    indexed = F.transform(tx.newline_lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"), F.trim(line).rlike(fence).alias("fence")))
-    # the fold stays inside the row: a document's lines are never shuffled to count its fences
-    folded = F.aggregate(
-        indexed,
-        F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line_no:int,line:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(x["fence"], ~acc["inside"]).otherwise(acc["inside"]).alias("inside"),
-            F.when(x["fence"] | acc["inside"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return docs.where("content is not null").select(*keep, F.inline(folded))
+    rows = docs.where("content is not null").select(*keep, F.transform(tx.newline_lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"))).alias("lines"))
+    rows = evaluated(rows, {"fences": F.transform(F.filter("lines", lambda x: F.trim(x["line"]).rlike(fence)), lambda x: x["line_no"])})
+    rows = evaluated(rows, {"cuts": F.concat(F.array(F.lit(0)), "fences", F.array(F.size("lines") + 1))})
+    cut = lambda k: F.element_at("cuts", k.cast("int"))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size("fences") / 2)), lambda k: F.slice("lines", cut(2 * k + 1) + 1, cut(2 * k + 2) - cut(2 * k + 1) - 1))
+    return rows.select(*keep, F.flatten(stretches).alias("outside"))
+
+
+def lines_outside_fences(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """K1: lines outside code fences, one row each, numbering from 1."""
+    return _fenced(docs, keep).select(*keep, F.inline("outside"))
 
 
 def markdown_links(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """K2: links to ``.md`` outside fences, without anchors."""
+    """K2: links to ``.md`` outside fences, without anchors, and their labels."""
     rows = lines_outside_fences(docs, keep)
-    links = F.regexp_extract_all("line", F.lit(r"\]\(([^)\s#]+\.md[^)]*)\)"), F.lit(1))
-    return rows.select(*keep, "line_no", F.explode(links).alias("raw")).select(*keep, "line_no", F.split("raw", "#")[0].alias("link")).where("link <> ''")
+    pattern = r"(?:\[([^\[\]\n]*))?\]\(([^)\s#]+\.md[^)]*)\)"
+    part = lambda i: F.regexp_extract_all("line", F.lit(pattern), F.lit(i))
+    links = rows.where("contains(line, '](')").select(*keep, "line_no", F.inline(F.arrays_zip(part(1).alias("label"), part(2).alias("raw"))))
+    return links.select(*keep, "line_no", "label", F.split("raw", "#")[0].alias("link")).where("link <> ''")
+
+
+def resolved_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links of a project with the paths they lead to, as ``dst``: the path as written, else by label.
+
+    A link whose path is not there but whose label is a skill of the project leads to that skill's documents in the
+    directory that the link names. Links that lead nowhere are left out.
+    """
+    known = targets.where("path is not null").select("project", F.col("path").alias("dst"), F.col("skill_name").alias("label"), tx.dir_name(F.col("path")).alias("dir")).distinct()
+    exact = links.join(known.select("project", F.col("dst").alias("link")).distinct().withColumn("there", F.lit(True)), ["project", "link"], "left")
+    by_label = exact.where("there is null").withColumn("dir", tx.dir_name(F.col("link"))).join(known, ["project", "label", "dir"])
+    return exact.where("there").withColumn("dst", F.col("link")).drop("there").unionByName(by_label.drop("there", "dir"))
 
 
 def rule_reference_depth(targets: DataFrame, paths: DataFrame) -> DataFrame:
     """A first-level reference that links on, outside vendored contracts; each counted once."""
     links = markdown_links(targets.where("path is not null"), ["project", "rel", "path", "kind"])
-    first = links.where((F.col("kind") == "skill_doc") & F.col("link").startswith("references/") & ~F.col("link").startswith("references/vendor/")).select("project", F.col("rel").alias("skill"), F.col("link").alias("path")).distinct()
+    named = links.where((F.col("kind") == "skill_doc") & F.col("link").startswith("references/") & ~F.col("link").startswith("references/vendor/")).drop("path")
+    first = resolved_links(named, targets).select("project", F.col("rel").alias("skill"), F.col("dst").alias("path")).distinct()
     onward = links.where("not startswith(link, 'vendor/')").select("project", "path", "line_no", "link")
     return first.join(onward, ["project", "path"]).select(*finding("SI-S001", "WARN", "REPORT_ONLY", F.concat_ws(":", "skill", "path", F.col("line_no").cast("string")), F.concat(F.lit("links on to "), F.col("link"))))
 
@@ -311,10 +365,10 @@ def word_stream(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def shingles(docs: DataFrame, keep: list[str], n: int = NGRAM) -> DataFrame:
-    """Each run of ``n`` words with the line and position where it begins."""
+    """Each run of ``n`` words with the line and position where it begins; made inside the row."""
     bodies = docs.where("content is not null").withColumn("content", tx.without_front_matter(F.col("content")))
-    rows = lines_outside_fences(bodies, keep)
-    words = rows.groupBy(*keep).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.transform(F.regexp_extract_all(F.lower(x["line"]), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(x["line_no"].alias("line_no"), w.alias("w"))))).alias("words"))
+    spelled = lambda x: F.transform(F.regexp_extract_all(F.lower(x["line"]), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(x["line_no"].alias("line_no"), w.alias("w")))
+    words = evaluated(_fenced(bodies, keep), {"words": F.flatten(F.transform("outside", spelled))}).drop("outside")
     runs = F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.struct(i.alias("pos"), F.element_at("words", i)["line_no"].alias("line_no"), F.array_join(F.transform(F.slice("words", i, F.lit(n)), lambda x: x["w"]), " ").alias("gram")))
     return words.where(F.size("words") >= n).select(*keep, F.inline(runs))
 
@@ -333,7 +387,7 @@ def first_shared_run(docs: DataFrame, contracts: DataFrame, keep: list[str], con
 def rule_copied_contract(targets: DataFrame, paths: DataFrame) -> DataFrame:
     """K7e, K7: text shared with a contract of the same project that the document links to."""
     docs = targets.where("path is not null and content is not null")
-    links = markdown_links(docs, ["project", "rel"]).select("project", "rel", F.col("link").alias("contract")).distinct()
+    links = resolved_links(markdown_links(docs, ["project", "rel"]), docs).select("project", "rel", F.col("dst").alias("contract")).distinct()
     linked = docs.select("project", "rel", "content").join(links, ["project", "rel"])
     contracts = docs.select("project", F.col("path").alias("contract"), "content").join(links.select("project", "contract").distinct(), ["project", "contract"])
     ours = shingles(linked, ["project", "rel", "contract"])
@@ -346,10 +400,19 @@ INTERFACE_RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"SI-S
 
 
 def assign_ids(findings: DataFrame) -> DataFrame:
-    """K8: a rule that fires more than once gets a running number."""
+    """K8: a rule that fires more than once gets a running number.
+
+    Findings are put in ranges of their order; each range is numbered alone and begins after what the ranges
+    before it hold, so no task has all findings of a rule.
+    """
+    order = ["place", "what", F.coalesce("fix_old", F.lit(""))]
+    ranged = cut_lineage(findings.repartitionByRange("rule", *order).withColumn("stretch", F.spark_partition_id()))
+    held = ranged.groupBy("rule", "stretch").agg(F.count("*").alias("n"))
     by_rule = Window.partitionBy("rule")
-    n = F.row_number().over(by_rule.orderBy("place", "what", F.coalesce("fix_old", F.lit(""))))
-    return findings.withColumn("id", F.when(F.count("*").over(by_rule) > 1, F.concat_ws("-", "rule", n.cast("string"))).otherwise(F.col("rule")))
+    held = held.select("rule", "stretch", F.coalesce(F.sum("n").over(by_rule.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_rule).alias("all"))
+    number = F.row_number().over(Window.partitionBy("rule", "stretch").orderBy(*order)) + F.col("before")
+    numbered = ranged.join(held, ["rule", "stretch"]).withColumn("id", F.when(F.col("all") > 1, F.concat_ws("-", "rule", number.cast("string"))).otherwise(F.col("rule")))
+    return numbered.drop("stretch", "before", "all")
 
 
 # ------------------------------------------------------------------ findings (F)
@@ -415,15 +478,17 @@ def apply_fixes(targets: DataFrame, findings: DataFrame) -> DataFrame:
     return targets.join(grouped, "rel").select("rel", F.aggregate("fixes", F.col("content"), one).alias("fixed"))
 
 
-def _targets(spark, sf_dir):
-    return targets_of(table(spark, sf_dir, "documents"))
+def audit_targets(spark, sf_dir):
+    """Documents and what was logged."""
+    logged = log_targets(*(table(spark, sf_dir, t) for t in ("session_one", "oc_part", "oc_session")))
+    return targets_of(table(spark, sf_dir, "documents")).unionByName(logged)
 
 
 def rule_query(name: str):
     rule = CONTEXT_RULES.get(name) or INTERFACE_RULES[name]
 
     def query(spark, sf_dir):
-        targets = _targets(spark, sf_dir)
+        targets = audit_targets(spark, sf_dir)
         return rule(targets, paths_of(targets))
 
     return query
@@ -431,4 +496,9 @@ def rule_query(name: str):
 
 def all_findings(spark, sf_dir):
     """Findings of all context rules."""
-    return run_rules(_targets(spark, sf_dir), CONTEXT_RULES)
+    return run_rules(audit_targets(spark, sf_dir), CONTEXT_RULES)
+
+
+def all_interface_findings(spark, sf_dir):
+    """K9: findings of all interface rules, numbered."""
+    return assign_ids(run_rules(audit_targets(spark, sf_dir), INTERFACE_RULES))

@@ -9,14 +9,7 @@ from quern.operators import rules as op
 from quern.session import table
 
 
-def _targets(spark, sf_dir):
-    return op.targets_of(table(spark, sf_dir, "documents"))
-
-
-def _some(spark, sf_dir):
-    """Findings of the two rules that the SQL twins of the pipeline queries hold: missing paths of instructions and of memories."""
-    targets = _targets(spark, sf_dir)
-    return op.run_rules(targets, {k: op.CONTEXT_RULES[k] for k in ("CA-S001", "CA-M101")})
+_targets = op.audit_targets
 
 
 def e02_path_references(spark, sf_dir):
@@ -57,9 +50,14 @@ def k07_ngram_overlap(spark, sf_dir):
     return op.first_shared_run(ours, contracts, ["rel"], "contract")
 
 
-def over(findings, query):
-    """A pipeline query over ``findings``: of the two rules with an SQL twin, or of all."""
-    return lambda spark, sf_dir: query(findings(spark, sf_dir))
+def over(query):
+    """A pipeline query over the findings of all context rules."""
+    return lambda spark, sf_dir: query(op.all_findings(spark, sf_dir))
+
+
+def e17_members(spark, sf_dir):
+    """Claims by the first of their class, which contradictions name: no link between different texts is lost with the copies."""
+    return op.claim_members(op.claims_of(_targets(spark, sf_dir)))
 
 
 def finding_ids(found):
@@ -89,18 +87,24 @@ def k08_assigned_ids(spark, sf_dir):
 QUERIES = {
     "d10_front_entries": d10_front_entries, "e02_path_references": e02_path_references, "e12_polarity": e12_polarity,
     "e07_missing_path": op.rule_query("CA-S001"), "e08_missing_skill": op.rule_query("CA-S002"), "e09_unsafe": op.rule_query("CA-U001"), "e10_runtime_tools": op.rule_query("CA-D001"),
-    "e11_unmentioned_skill": op.rule_query("CA-D002"), "e17_contradiction": op.rule_query("CA-C001"), "e18_memory_shape": op.rule_query("CA-M001"), "e20_memory_path": op.rule_query("CA-M101"), "e21_memory_secret": op.rule_query("CA-M301"),
-    "e19_run_audit": op.all_findings, "f02_fixes": f02_fixes, "f10_finding_ids": over(_some, finding_ids), "f13_ranked": over(_some, ranked), "f14_summary": over(_some, op.summarize), "f16_suppression": over(_some, suppression),
-    "f10_all_finding_ids": over(op.all_findings, finding_ids), "f13_all_ranked": over(op.all_findings, ranked), "f14_all_summary": over(op.all_findings, op.summarize), "f16_all_suppression": over(op.all_findings, suppression),
+    "e11_unmentioned_skill": op.rule_query("CA-D002"), "e17_contradiction": op.rule_query("CA-C001"), "e17_members": e17_members, "e18_memory_shape": op.rule_query("CA-M001"), "e20_memory_path": op.rule_query("CA-M101"), "e21_memory_secret": op.rule_query("CA-M301"),
+    "e19_run_audit": op.all_findings, "f02_fixes": f02_fixes, "f10_finding_ids": over(finding_ids), "f13_ranked": over(ranked), "f14_summary": over(op.summarize), "f16_suppression": over(suppression),
     "i26_secret_kinds": i26_secret_kinds, "k01_outside_fences": k01_outside_fences, "k02_markdown_links": k02_markdown_links, "k03_reference_depth": op.rule_query("SI-S001"), "k04_description": op.rule_query("SI-S002"),
     "k05_prose_share": k05_prose_share, "k05_prose_rule": op.rule_query("SI-S003"), "k07_ngram_overlap": k07_ngram_overlap, "k07_copied_contract": op.rule_query("SI-S006"), "k08_assigned_ids": k08_assigned_ids,
+    "k09_run_checks": op.all_interface_findings,
 }
 
 _ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _T = rf"""
-with t as (select coalesce(source, '') as project, coalesce(path, '') || '#' || doc_id as rel, path, skill_name,
+with recursive pv as (select row_id, session_id, case when json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then (j ->> '$')::json end else j end as d from (select *, case when json_valid(data) then data::json end as j from oc_part)),
+sv as (select row_id, cwd, message.content::json as j from session_one where contains(message.content, 'tool_use') and json_valid(message.content)),
+st as (select row_id, cwd, i, c -> ('$[' || i || ']') as b from (select row_id, cwd, j as c, unnest(range(json_array_length(j)::bigint)) as i from sv where json_type(j) = 'ARRAY')),
+t as (select coalesce(source, '') as project, coalesce(path, '') || '#' || doc_id as rel, path, skill_name,
   case doc_kind when 'instruction' then 'project_md' when 'iteration_note' then 'memory' else doc_kind end as kind,
-  case doc_kind when 'iteration_note' then 'memory' else 'instruction' end as category, text as content from documents),
+  case doc_kind when 'iteration_note' then 'memory' else 'instruction' end as category, text as content from documents
+  union all select coalesce(directory, ''), 'session#' || row_id, null, null, 'memory', 'memory', '---' || chr(10) || concat_ws(chr(10), 'name: ' || slug, 'description: ' || title, 'type: ' || version) || chr(10) || '---' || chr(10) from oc_session
+  union all select coalesce(cwd, ''), 'line#' || row_id, null, null, 'agents_md', 'instruction', string_agg('`' || (b ->> '$.name') || '` on `' || (b ->> '$.input.path') || '`', chr(10) order by i) as c from st where b ->> '$.type' = 'tool_use' group by row_id, cwd having c is not null
+  union all select coalesce(session_id, ''), 'part#' || row_id, null, null, 'memory', 'memory', d ->> '$.text' from pv where d ->> '$.type' = 'text' and json_type(d -> '$.text') = 'VARCHAR'),
 l as (select project, rel, kind, category, unnest(generate_series(1, len(ls))) as line_no, unnest(ls) as line from
   (select *, regexp_split_to_array(regexp_replace(content, '(?:{_ENDS})\z', ''), '{_ENDS}') as ls from t where content is not null)),
 n as (select project, rel, kind, category, unnest(generate_series(1, len(ls))) as line_no, unnest(ls) as line from (select *, string_split(content, chr(10)) as ls from t where content is not null)),
@@ -121,11 +125,12 @@ s001 as (select 'CA-S001' as rule, 'WARN' as severity, case when neighbour is nu
   case when neighbour is not null then ref end as fix_old, case when neighbour is not null then case when c.parent = '' then neighbour else c.parent || '/' || neighbour end end as fix_new
   from chk c left join near using (project, parent, base) where category = 'instruction'),
 m101 as (select 'CA-M101' as rule, 'WARN' as severity, 'NEEDS_JUDGMENT' as action, rel || ':' || line_no as place, 'missing path (line withheld)' as what, null::varchar as fix_old, null::varchar as fix_new from miss where kind = 'memory'),
-found as (from s001 union all from m101),
-fd as (select *, substr(sha256(rule || '|' || place || '|' || what), 1, 16) as fid from found),
 fence as (select *, regexp_matches(trim(line), '^(?:`{{3,}}|~{{3,}})') as is_fence from n),
 outside as (select project, rel, kind, line_no, line from (select *, sum(is_fence::int) over (partition by project, rel, kind order by line_no) as seen from fence) where not is_fence and seen % 2 = 0),
-links as (select project, rel, kind, line_no, string_split(raw, '#')[1] as link from (select project, rel, kind, line_no, unnest(regexp_extract_all(line, '\]\(([^)\s#]+\.md[^)]*)\)', 1)) as raw from outside)),
+links as (select project, rel, kind, line_no, label, string_split(raw, '#')[1] as link from (select project, rel, kind, line_no, unnest(regexp_extract_all(line, '(?:\[([^\[\]\n]*))?\]\(([^)\s#]+\.md[^)]*)\)', 1)) as label, unnest(regexp_extract_all(line, '(?:\[([^\[\]\n]*))?\]\(([^)\s#]+\.md[^)]*)\)', 2)) as raw from outside)),
+led as (select l.*, l.link as dst from links l where exists (from files f where f.project = l.project and f.path = l.link)
+  union all select l.*, k.path from links l join (select distinct project, path, skill_name, regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as dir from t where path is not null) k
+  on k.project = l.project and k.skill_name = l.label and k.dir = regexp_replace(regexp_replace(l.link, '[^/]*$', ''), '/$', '') where not exists (from files f where f.project = l.project and f.path = l.link)),
 fm as (select rel, kind, line_no, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):(.*)$', 1) as key, trim(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):(.*)$', 2)) as value, line as raw from
   (select l.*, min(line_no) filter (line_no > 1 and trim(line) = '---') over (partition by rel) as e, max(case when line_no = 1 then trim(line) end) over (partition by rel) as first_line from l)
   where first_line = '---' and line_no > 1 and line_no < e and regexp_matches(line, '^([A-Za-z_][A-Za-z0-9_-]*):(.*)$')),
@@ -151,13 +156,9 @@ ORACLES = {
     + _finding("CA-M001", "'WARN'", "'NEEDS_JUDGMENT'", "rel || ':' || line_no", "'unknown type (line withheld)'") + " from fm1 where key = 'type' and value <> '' and value not in ('feedback', 'project', 'reference', 'session', 'user') union all "
     + _finding("CA-M001", "'WARN'", "'AUTO_FIX'", "rel || ':' || line_no", "'entry not canonical ' || key", "raw", "canonical") + " from canon where raw <> canonical and rtrim(raw) <> canonical",
     "e20_memory_path": _T + f"select {_FIND} from m101",
-    "f10_finding_ids": _T + "select rule, place, what, fid from fd",
-    "f13_ranked": _T + "select case severity when 'BLOCK' then 0 when 'WARN' then 1 when 'INFO' then 2 else 9 end as gravity, rule, count(*) as n from found group by all",
-    "f14_summary": _T + "select 'action' as facet, a as value, count(f.rule) as n from (values ('AUTO_FIX'), ('NEEDS_JUDGMENT'), ('REPORT_ONLY')) v(a) left join found f on f.action = a group by all union all select 'severity', coalesce(severity, 'INFO'), count(*) from found group by all",
-    "f16_suppression": _T + "select fid, rule, place from fd where fid not in (select fid from fd where starts_with(place, 'skills/'))",
     "k01_outside_fences": _T + "select rel, count(*) as lines, sum(line_no)::bigint as line_sum from outside group by rel",
-    "k02_markdown_links": _T + "select rel, line_no, link from links where link <> ''",
-    "k03_reference_depth": _T + _finding("SI-S001", "'WARN'", "'REPORT_ONLY'", "skill || ':' || a.path || ':' || line_no", "'links on to ' || link") + " from (select distinct project, rel as skill, link as path from links where kind = 'skill_doc' and starts_with(link, 'references/') and not starts_with(link, 'references/vendor/')) a join (select li.project, t.path, line_no, link from links li join t using (rel) where link <> '' and not starts_with(link, 'vendor/')) b using (project, path)",
+    "k02_markdown_links": _T + "select rel, line_no, label, link from links where link <> ''",
+    "k03_reference_depth": _T + _finding("SI-S001", "'WARN'", "'REPORT_ONLY'", "skill || ':' || a.path || ':' || line_no", "'links on to ' || link") + " from (select distinct project, rel as skill, dst as path from led where kind = 'skill_doc' and link <> '' and starts_with(link, 'references/') and not starts_with(link, 'references/vendor/')) a join (select li.project, t.path, line_no, link from links li join t using (rel) where link <> '' and not starts_with(link, 'vendor/')) b using (project, path)",
     "k04_description": _T + _finding("SI-S002", "'WARN'", "'REPORT_ONLY'", "rel", "leaks") + r" from (select rel, concat_ws(', ', case when regexp_matches(d, '(?i)Phase\s*\d|Step\s*\d') then 'numbered phase' end, case when regexp_matches(d, '\d+[.)]\s') then 'numbered list' end, case when regexp_matches(d, 'まず.*次に|最初に.*その後') then 'procedure words' end, case when regexp_matches(d, '→.*→') then 'arrow chain' end) as leaks from (select rel, trim(regexp_extract(regexp_extract(content, '(?s)\A---\s*\n(.*?)\n---\s*\n', 1), '(?m)^description:(.*)$', 1)) as d from t where kind = 'skill_doc' and content is not null)) where leaks <> ''",
 }
 
@@ -173,28 +174,65 @@ claims as (select *, list_sort(list_filter(list_distinct(list_concat(regexp_extr
   case when pr then 'prohibit' else 'allow' end as polarity from pol1 where pr <> al)
 """
 )
+_CLASSES = _CLAIMS + ", cl as (select project, polarity, subjects, count(*) as members, min(row(rel, line_no)) as first from claims where len(subjects) > 0 group by all)"
+_CONTRADICTION = """
+select 'CA-C001' as rule, 'WARN' as severity, 'REPORT_ONLY' as action, a.first[1] || ':' || a.first[2] as place, 'against ' || b.first[1] || ':' || b.first[2] || ' (' || a.members || ' prohibit, ' || b.members || ' allow)' as what, null::varchar as fix_old, null::varchar as fix_new
+from cl a join cl b on a.project = b.project and a.polarity = 'prohibit' and b.polarity = 'allow' where len(list_intersect(a.subjects, b.subjects)) / (len(a.subjects) + len(b.subjects) - len(list_intersect(a.subjects, b.subjects)))::double >= 0.2"""
 _SECRET_CASES = ", ".join(f"case when regexp_matches(line, {_PATTERN(p)}) then '{k}' end" for k, p in tx.SECRETS)
-_SECRETS = _T + f", sec as (select *, array_to_string(list_sort(list_filter([{_SECRET_CASES}], lambda x: x is not null)), ',') as kinds from l)"
+_SEC = f", sec as (select *, array_to_string(list_sort(list_filter([{_SECRET_CASES}], lambda x: x is not null)), ',') as kinds from l)"
+_SECRETS = _T + _SEC
+_GRAMS = r"""
+, d as (select rel, project, kind, path, regexp_replace(content, '(?s)\A---\s*\n.*?\n---\s*\n', '') as body, content from t where content is not null{where}),
+dl as (select rel, kind, line_no, line, regexp_matches(trim(line), '^(?:`{{3,}}|~{{3,}})') as fenced from (select rel, kind, unnest(generate_series(1, len(ls))) as line_no, unnest(ls) as line from (select rel, kind, string_split(body, chr(10)) as ls from d))),
+dw as (select rel, kind, line_no, regexp_extract_all(lower(line), '[a-z0-9]+', 0) as ws from (select *, sum(fenced::int) over (partition by rel order by line_no) as seen from dl) where not fenced and seen % 2 = 0),
+w as (select rel, kind, flatten(list(list_transform(ws, lambda x: struct_pack(line_no := line_no, w := x)) order by line_no)) as words from dw group by all),
+g as (select rel, kind, i as pos, words[i].line_no as line_no, array_to_string(list_transform(words[i:i + 11], lambda x: x.w), ' ') as gram from (select *, unnest(generate_series(1, len(words) - 11)) as i from w where len(words) >= 12))
+"""
+_PROSE = r"""
+, b as (select rel, regexp_replace(content, '(?s)\A---\s*\n.*?\n---\s*\n', '') as body from t where kind = 'skill_doc' and content is not null),
+bl as (select rel, unnest(generate_series(1, len(ls))) as i, trim(unnest(ls)) as line from (select rel, string_split(body, chr(10)) as ls from b where regexp_matches(body, '\S'))),
+c as (select *, last_value(case when starts_with(line, '## ') then regexp_matches(lower(line), 'workflow|flow|phase|step|フロー|ワークフロー') end ignore nulls) over (partition by rel order by i rows unbounded preceding) as flow from bl),
+pro as (select rel, count(*) filter (not coalesce(flow, false))::int as prose, count(*)::int as lines from c group by rel)
+"""
+_PROSE_RULE = _finding("SI-S003", "'INFO'", "'REPORT_ONLY'", "rel", "'prose ' || prose || ' of ' || lines || ' lines'") + " from pro where prose / lines::double > 0.6"
 ORACLES |= {
     "e09_unsafe": _T + _finding("CA-U001", "'WARN'", "'REPORT_ONLY'", "rel || ':' || line_no", "label || ': ' || case when category = 'memory' then '(line withheld)' else trim(line) end") + " from (select *, case " + " ".join(f"when regexp_matches(line, {_PATTERN(p)}) then '{n}'" for n, p in tx.UNSAFE) + " end as label from l) where label is not null",
     "e12_polarity": _CLAIMS + "select rel, line_no, polarity, array_to_string(subjects, ' ') as subjects from claims where len(subjects) > 0",
-    "e17_contradiction": _CLAIMS
-    + f""", cl as (select project, polarity, subjects, min(row(rel, line_no)) as first from claims where len(subjects) > 0 group by all)
-select 'CA-C001' as rule, 'WARN' as severity, 'REPORT_ONLY' as action, a.first[1] || ':' || a.first[2] as place, 'against ' || b.first[1] || ':' || b.first[2] as what, null::varchar as fix_old, null::varchar as fix_new
-from cl a join cl b on a.project = b.project and a.polarity = 'prohibit' and b.polarity = 'allow' where len(list_intersect(a.subjects, b.subjects)) / (len(a.subjects) + len(b.subjects) - len(list_intersect(a.subjects, b.subjects)))::double >= 0.2""",
+    "e17_contradiction": _CLASSES + _CONTRADICTION,
+    "e17_members": _CLASSES + "select c.first[1] || ':' || c.first[2] as first, polarity, l.rel, l.line_no from cl c join claims l using (project, polarity, subjects)",
     "e21_memory_secret": _SECRETS + _finding("CA-M301", "case when len(list_filter(string_split(kinds, ','), lambda k: k not in ('email', 'home_path'))) > 0 then 'BLOCK' else 'WARN' end", "'REPORT_ONLY'", "rel || ':' || line_no", "'suspected ' || replace(kinds, ',', ', ')") + " from sec where kind = 'memory' and kinds <> ''",
     "i26_secret_kinds": _SECRETS + "select rel, line_no, kinds from sec where kinds <> ''",
-    "k05_prose_share": _T
-    + r""", b as (select rel, regexp_replace(content, '(?s)\A---\s*\n.*?\n---\s*\n', '') as body from t where kind = 'skill_doc' and content is not null),
-bl as (select rel, unnest(generate_series(1, len(ls))) as i, trim(unnest(ls)) as line from (select rel, string_split(body, chr(10)) as ls from b where regexp_matches(body, '\S'))),
-c as (select *, last_value(case when starts_with(line, '## ') then regexp_matches(lower(line), 'workflow|flow|phase|step|フロー|ワークフロー') end ignore nulls) over (partition by rel order by i rows unbounded preceding) as flow from bl)
-select rel, count(*) filter (not coalesce(flow, false))::int as prose, count(*)::int as lines from c group by rel""",
-    "k07_ngram_overlap": _T
-    + r""", d as (select rel, kind, regexp_replace(content, '(?s)\A---\s*\n.*?\n---\s*\n', '') as body, content from t where content is not null and kind in ('skill_doc', 'project_md')),
-dl as (select rel, kind, line_no, line, regexp_matches(trim(line), '^(?:`{3,}|~{3,})') as fenced from (select rel, kind, unnest(generate_series(1, len(ls))) as line_no, unnest(ls) as line from (select rel, kind, string_split(body, chr(10)) as ls from d))),
-dw as (select rel, kind, line_no, regexp_extract_all(lower(line), '[a-z0-9]+', 0) as ws from (select *, sum(fenced::int) over (partition by rel order by line_no) as seen from dl) where not fenced and seen % 2 = 0),
-w as (select rel, kind, flatten(list(list_transform(ws, lambda x: struct_pack(line_no := line_no, w := x)) order by line_no)) as words from dw group by all),
-g as (select rel, kind, i as pos, words[i].line_no as line_no, array_to_string(list_transform(words[i:i + 11], lambda x: x.w), ' ') as gram from (select *, unnest(generate_series(1, len(words) - 11)) as i from w where len(words) >= 12)),
-con as (select distinct d.content as contract, g.gram from g join d using (rel) where g.kind = 'project_md')
+    "k05_prose_share": _T + _PROSE + "select * from pro",
+    "k05_prose_rule": _T + _PROSE + _PROSE_RULE,
+    "k07_ngram_overlap": _T + _GRAMS.format(where=" and kind in ('skill_doc', 'project_md')") + """, con as (select distinct d.content as contract, g.gram from g join d using (rel) where g.kind = 'project_md')
 select rel, md5(contract) as contract, arg_min(line_no, pos)::int as line_no, arg_min(g.gram, pos) as gram from g join con using (gram) where g.kind = 'skill_doc' group by rel, contract""",
+    "k07_copied_contract": _T + _GRAMS.format(where=" and path is not null") + """, linked as (select distinct project, rel, dst as contract from led where link <> ''),
+con as (select distinct d.project, d.path as contract, g.gram from g join d using (rel) where exists (from linked k where k.project = d.project and k.contract = d.path)),
+hit as (select rel, contract, arg_min(line_no, pos) as line_no from g join linked k using (rel) join con using (project, contract, gram) group by rel, contract)
+""" + _finding("SI-S006", "'WARN'", "'NEEDS_JUDGMENT'", "rel || ':' || line_no", "'shares text with ' || contract") + " from hit",
+}
+ORACLES["k08_assigned_ids"] = _T + _PROSE + ", two as (" + _PROSE_RULE + " union all " + ORACLES["k04_description"].removeprefix(_T) + ") select *, case when count(*) over (partition by rule) > 1 then rule || '-' || row_number() over (partition by rule order by place, what, coalesce(fix_old, '')) else rule end as id from two"
+_FIXES = " union all ".join(ORACLES[n].removeprefix(_T) for n in ("e07_missing_path", "e18_memory_shape"))
+ORACLES["f02_fixes"] = _T + f""", rf as (select *, row_number() over (partition by rel order by place, rule, fix_old, fix_new) as i from (select *, string_split(place, ':')[1] as rel from ({_FIXES}) where action = 'AUTO_FIX' and fix_old is not null)),
+step as (select rel, 0::bigint as i, content from t where rel in (select rel from rf) union all
+  select s.rel, s.i + 1, case when f.rule = 'CA-S001' then replace(replace(s.content, '](' || f.fix_old || ')', '](' || f.fix_new || ')'), '`' || f.fix_old || '`', '`' || f.fix_new || '`')
+    else array_to_string(list_transform(string_split(s.content, chr(10)), lambda x: case when rtrim(x) = f.fix_old or x = f.fix_old then f.fix_new else x end), chr(10)) end from step s join rf f on f.rel = s.rel and f.i = s.i + 1)
+select rel, sha256(arg_max(content, i)) as sha from step group by rel"""
+
+
+def _masked(column: str) -> str:
+    for kind, pattern in tx.SECRETS:
+        column = f"regexp_replace({column}, {_PATTERN(pattern)}, '[REDACTED:{kind}]', 'g')"
+    return column
+
+
+#: The findings of all nine context rules, masked.
+_EVERY = [ORACLES[n].removeprefix(prefix) for n, prefix in (("e07_missing_path", _T), ("e08_missing_skill", _T), ("e09_unsafe", _T), ("e10_runtime_tools", _T), ("e11_unmentioned_skill", _T), ("e17_contradiction", _CLASSES), ("e18_memory_shape", _T), ("e20_memory_path", _T), ("e21_memory_secret", _SECRETS))]
+_FOUND = _CLASSES + _SEC + ", raw as (" + " union all ".join(f"select {_FIND} from ({q})" for q in _EVERY) + f"), found as (select rule, severity, action, place, {_masked('what')} as what, {_masked('fix_old')} as fix_old, {_masked('fix_new')} as fix_new from raw), fd as (select *, substr(sha256(rule || '|' || place || '|' || what), 1, 16) as fid from found) "
+ORACLES |= {
+    "e19_run_audit": _FOUND + f"select {_FIND} from found",
+    "f10_finding_ids": _FOUND + "select rule, place, what, fid from fd",
+    "f13_ranked": _FOUND + "select case severity when 'BLOCK' then 0 when 'WARN' then 1 when 'INFO' then 2 else 9 end as gravity, rule, count(*) as n from found group by all",
+    "f14_summary": _FOUND + "select 'action' as facet, a as value, count(f.rule) as n from (values ('AUTO_FIX'), ('NEEDS_JUDGMENT'), ('REPORT_ONLY')) v(a) left join found f on f.action = a group by all union all select 'severity', coalesce(severity, 'INFO'), count(*) from found group by all",
+    "f16_suppression": _FOUND + "select fid, rule, place from fd where fid not in (select fid from fd where starts_with(place, 'skills/'))",
 }

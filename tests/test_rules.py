@@ -59,8 +59,35 @@ def test_polarity_and_claims(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(tx.polarity_of(F.col("line"))).collect()]
     assert got == ["prohibit", "allow", None, None, "prohibit", "prohibit", None]
     t = targets(spark, ("a.md", "project_md", "never push the branch\n\nnever push the branch"), ("b.md", "project_md", "always push the branch"), ("c.md", "project_md", "always drink water"))
-    pairs = rules.opposing_claims(rules.claims_of(t)).collect()
-    assert [(r["prohibits"]["rel"], r["allows"]["rel"], r["prohibit_members"], round(r["similarity"], 3)) for r in pairs] == [("a.md", "b.md", 2, 1.0)]
+    classes = rules.claim_classes(rules.claims_of(t))
+    for most in (1, 1_000_000):
+        pairs = rules.opposing_claims(classes, most=most).collect()
+        assert [(r["prohibits"]["rel"], r["allows"]["rel"], r["prohibit_members"], round(r["similarity"], 3)) for r in pairs] == [("a.md", "b.md", 2, 1.0)]
+    members = {(r["first"], r["rel"], r["line_no"]) for r in rules.claim_members(rules.claims_of(t)).where("polarity = 'prohibit'").collect()}
+    assert members == {("a.md:1", "a.md", 1), ("a.md:1", "a.md", 3)}
+
+
+def test_numbers_of_findings(spark):
+    rows = [("R1", "WARN", "REPORT_ONLY", f"p{i:03}", "w", None, None) for i in range(120)] + [("R1", "WARN", "REPORT_ONLY", "p005", "w", None, None), ("R2", "WARN", "REPORT_ONLY", "p", "w", None, None)]
+    found = spark.createDataFrame(rows, "rule string, severity string, action string, place string, what string, fix_old string, fix_new string")
+    got = sorted((r["place"], r["id"]) for r in rules.assign_ids(found).collect())
+    assert len({i for _, i in got}) == 122 and ("p", "R2") in got and ("p000", "R1-1") in got and ("p119", "R1-121") in got
+    assert rules.assign_ids(found.limit(0)).count() == 0
+
+
+def test_lines_outside_fences(spark):
+    texts = ["a\n```\nb\n```\nc", "```\nx", "", "a", "~~~\n```\n~~~\nz\n```", "x\n   ````py\ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = [(r["i"], r["line_no"], r["line"]) for r in rules.lines_outside_fences(df, ["i"]).orderBy("i", "line_no").collect()]
+    want = []
+    for i, text in enumerate(texts):
+        inside = False
+        for n, line in enumerate(text.split("\n"), 1):
+            if line.strip(" ").startswith(("```", "~~~")):
+                inside = not inside
+            elif not inside:
+                want.append((i, n, line))
+    assert got == want
 
 
 def test_tokens(spark):
@@ -153,12 +180,12 @@ def test_audit_and_pipeline_see_every_rule(spark, sf_dir):
     keys = ("e07_missing_path", "e08_missing_skill", "e09_unsafe", "e10_runtime_tools", "e11_unmentioned_skill", "e17_contradiction", "e18_memory_shape", "e20_memory_path", "e21_memory_secret")
     want = Counter(r["rule"] for k in keys for r in queries[k](spark, sf_dir).select("rule").collect())
     assert want["CA-C001"] and Counter(r["rule"] for r in queries["e19_run_audit"](spark, sf_dir).select("rule").collect()) == want
-    ids = queries["f10_all_finding_ids"](spark, sf_dir).select("rule", "place", "fid").collect()
+    ids = queries["f10_finding_ids"](spark, sf_dir).select("rule", "place", "fid").collect()
     assert Counter(r["rule"] for r in ids) == want
-    assert {r["rule"]: r["n"] for r in queries["f13_all_ranked"](spark, sf_dir).groupBy("rule").agg(F.sum("n").alias("n")).collect()} == want
-    assert sum(r["n"] for r in queries["f14_all_summary"](spark, sf_dir).where("facet = 'severity'").collect()) == want.total()
+    assert {r["rule"]: r["n"] for r in queries["f13_ranked"](spark, sf_dir).groupBy("rule").agg(F.sum("n").alias("n")).collect()} == want
+    assert sum(r["n"] for r in queries["f14_summary"](spark, sf_dir).where("facet = 'severity'").collect()) == want.total()
     gone = {r["fid"] for r in ids if r["place"].startswith("skills/")}
-    assert Counter(r["rule"] for r in queries["f16_all_suppression"](spark, sf_dir).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
+    assert Counter(r["rule"] for r in queries["f16_suppression"](spark, sf_dir).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
 
 
 def test_closure_has_no_depth_of_its_own(spark):
