@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import grammars as g
 from quern.functions import text as tx
 from quern.operators import rules
-from quern.operators.snapshots import CUTOFF, latest_documents
+from quern.operators.snapshots import CUTOFF, cyclic_edges, latest_documents, linked_skills
 from quern.session import arrow_safe, table
 
 #: Keys and values that a scenario may declare.
@@ -164,14 +164,16 @@ def unified_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", run("path", "a", "b").alias("diff"))
 
 
-def walk_back_edges(edges: DataFrame, by: str, start: str) -> DataFrame:
-    """Back edges of the ordered walk of each group (a skill's documents, which are few)."""
+def walk_back_edges(edges: DataFrame) -> DataFrame:
+    """Back edges of an ordered walk of each cycle component ``src, dst, component`` from its least node.
+
+    Back edges lie on cycles only, so what is walked in one task is a component and not all documents of a skill.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = g.back_edges(list(zip(pdf["src"], pdf["dst"])), pdf[start].iloc[0])
-        return pd.DataFrame([(pdf[by].iloc[0], a, b) for a, b in found], columns=[by, "src", "dst"])
+        return pd.DataFrame(g.back_edges(list(zip(pdf["src"], pdf["dst"])), pdf["src"].min()), columns=["src", "dst"])
 
-    return edges.groupBy(by).applyInPandas(run, f"{by} string, src string, dst string")
+    return edges.groupBy("component").applyInPandas(run, "src string, dst string")
 
 
 def _docs(spark, sf_dir):
@@ -206,12 +208,7 @@ def j01_headers(spark, sf_dir):
 
 
 def j08_back_edges(spark, sf_dir):
-    from quern.operators.snapshots import _related_edges
-
-    docs = latest_documents(table(spark, sf_dir, "documents"))
-    edges = _related_edges(docs).join(docs.select(F.col("path").alias("src"), "skill"), "src")
-    first = edges.groupBy("skill").agg(F.min("src").alias("first"))
-    return walk_back_edges(edges.join(first, "skill"), "skill", "first")
+    return walk_back_edges(cyclic_edges(linked_skills(spark, sf_dir)))
 
 
 def k06_vocabulary(spark, sf_dir):

@@ -309,12 +309,13 @@ def markdown_links(docs: DataFrame, keep: list[str]) -> DataFrame:
 def resolved_links(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Links of a project with the paths they lead to, as ``dst``: the path as written, else by label.
 
-    A link whose path is not there but whose label is a skill of the project leads to that skill's documents in the
+    A link whose path is not there but whose label is a skill of the project leads to that skill's first document in the
     directory that the link names. Links that lead nowhere are left out.
     """
-    known = targets.where("path is not null").select("project", F.col("path").alias("dst"), F.col("skill_name").alias("label"), tx.dir_name(F.col("path")).alias("dir")).distinct()
-    exact = links.join(known.select("project", F.col("dst").alias("link")).distinct().withColumn("there", F.lit(True)), ["project", "link"], "left")
-    by_label = exact.where("there is null").withColumn("dir", tx.dir_name(F.col("link"))).join(known, ["project", "label", "dir"])
+    files = targets.where("path is not null")
+    exact = links.join(files.select("project", F.col("path").alias("link")).distinct().withColumn("there", F.lit(True)), ["project", "link"], "left")
+    home = files.where("skill_name is not null").groupBy("project", F.col("skill_name").alias("label"), tx.dir_name(F.col("path")).alias("dir")).agg(F.min("path").alias("dst"))
+    by_label = exact.where("there is null").withColumn("dir", tx.dir_name(F.col("link"))).join(home, ["project", "label", "dir"])
     return exact.where("there").withColumn("dst", F.col("link")).drop("there").unionByName(by_label.drop("there", "dir"))
 
 

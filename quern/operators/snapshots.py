@@ -131,19 +131,78 @@ def gate_reason(outcomes: DataFrame, floor: int = MIN_CASES) -> DataFrame:
 # ------------------------------------------------------------------ graphs
 
 
-def checkable_links(docs: DataFrame) -> DataFrame:
-    """H2, H3: relative ``.md`` links without anchors, placeholders or names that open with a time."""
-    links = F.transform(F.regexp_extract_all("content", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)), lambda x: F.split(x, "#")[0])
-    rows = docs.select("path", F.explode(F.array_distinct(links)).alias("link"))
+LINK = r"(?:\[([^\[\]\n]*))?\]\(([^)\s]+)\)"
+
+
+def labelled_links(docs: DataFrame) -> DataFrame:
+    """H2, H3: relative ``.md`` links without anchors, placeholders or names that open with a time, and their labels."""
+    part = lambda i: F.regexp_extract_all("content", F.lit(LINK), F.lit(i))
+    pairs = F.transform(F.arrays_zip(part(1).alias("label"), part(2).alias("raw")), lambda x: F.struct(x["label"].alias("label"), F.split(x["raw"], "#")[0].alias("link")))
+    rows = docs.where("contains(content, '](')").select("path", F.inline(F.array_distinct(pairs)))
     return rows.where(F.col("link").endswith(".md") & ~F.col("link").rlike(r"^(?:https?://|mailto:|#|/)|[{*]") & ~tx.base_name(F.col("link")).rlike(r"^\d{8,}"))
 
 
+def checkable_links(docs: DataFrame) -> DataFrame:
+    return labelled_links(docs).select("path", "link").distinct()
+
+
+def normal_path(path):
+    """A path without empty, ``.`` and ``..`` steps; ``..`` above the root stays."""
+
+    def step(acc, x):
+        up = (x == "..") & (F.size(acc) > 0) & (F.coalesce(F.element_at(acc, -1), F.lit("..")) != "..")
+        return F.when(x.isin("", "."), acc).when(up, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def beside(path, link):
+    """``link`` as seen from the directory of ``path``."""
+    return normal_path(F.when(tx.dir_name(path) == "", link).otherwise(F.concat_ws("/", tx.dir_name(path), link)))
+
+
+def _existing(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.join(docs.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").where("src <> dst")
+
+
 def link_edges(docs: DataFrame) -> DataFrame:
-    """Edges to existing paths; a link is tried from the root and from the file's own directory."""
-    links = checkable_links(docs)
-    own = F.when(tx.dir_name(F.col("path")) == "", F.col("link")).otherwise(F.concat_ws("/", tx.dir_name(F.col("path")), F.col("link")))
-    both = links.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.array(F.col("link"), own))).alias("dst"))
-    return both.join(docs.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").where("src <> dst").distinct()
+    """H1: edges ``src, dst`` of links to existing paths of ``path, skill, content``.
+
+    A link is tried as written from the root and from the file's own directory. One that leads to neither and
+    whose label is a skill leads to that skill's first document, by path, in the directory it names.
+    """
+    links = labelled_links(docs)
+    tried = links.select(F.col("path").alias("src"), "label", "link", F.explode(F.array_distinct(F.array(normal_path(F.col("link")), beside(F.col("path"), F.col("link"))))).alias("dst"))
+    exact = _existing(tried, docs)
+    home = docs.where("skill is not null").groupBy(F.col("skill").alias("label"), tx.dir_name(F.col("path")).alias("dir")).agg(F.min("path").alias("dst"))
+    lost = links.withColumnRenamed("path", "src").join(exact.select("src", "link").distinct(), ["src", "link"], "left_anti").withColumn("dir", tx.dir_name(F.col("link")))
+    by_label = lost.join(home, ["label", "dir"]).where("src <> dst")
+    return exact.select("src", "dst").unionByName(by_label.select("src", "dst")).distinct()
+
+
+def bare_path_edges(docs: DataFrame) -> DataFrame:
+    """Files under ``skills/`` that a Markdown text names as a bare path, from the root or its own directory; no tests."""
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_./-]+\.(?:md|py|sh)"), F.lit(0)))
+    rows = docs.where("endswith(path, '.md')").select(F.col("path").alias("src"), F.explode(names).alias("name")).where(~tx.base_name(F.col("name")).rlike(r"^test_.*\.py$"))
+    tried = rows.select("src", F.explode(F.array_distinct(F.array(normal_path(F.col("name")), beside(F.col("src"), F.col("name"))))).alias("dst")).where("startswith(dst, 'skills/')")
+    return _existing(tried, docs).select("src", "dst").distinct()
+
+
+SHARED = "skills/shared/scripts/"
+
+
+def import_edges(docs: DataFrame) -> DataFrame:
+    """A skill's scripts to the shared modules they import, by name, one hop; tests neither import nor are imported."""
+    test = tx.base_name(F.col("path")).startswith("test_")
+    modules = docs.where(F.col("path").rlike("^" + SHARED + r"[^/]+\.py$") & ~test).select(F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("module"), F.col("path").alias("dst")).distinct()
+    lines = docs.where(F.col("path").endswith(".py") & ~test & ~F.col("path").startswith(SHARED)).select(F.col("path").alias("src"), F.explode(F.split("content", "\n")).alias("line"))
+    named = lines.select("src", F.regexp_extract("line", r"^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_]*)", 1).alias("module")).where("module <> ''").distinct()
+    return named.join(modules, "module").select("src", "dst").where("src <> dst")
+
+
+def surface_edges(docs: DataFrame) -> DataFrame:
+    """Everything by which one file depends on another in one hop."""
+    return link_edges(docs).unionByName(bare_path_edges(docs)).unionByName(import_edges(docs)).distinct()
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -176,9 +235,58 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -
     return reduce(DataFrame.unionByName, (run for _, run in runs)) if runs else frontier
 
 
-def cyclic_edges(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """J8, as a relation: edges whose end reaches their start. A superset of the back edges of one walk."""
-    return edges.join(reach.select(F.col("start").alias("dst"), F.col("node").alias("src")), ["src", "dst"], "left_semi")
+def skill_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges between documents lifted to the skills that hold them."""
+    of = lambda end: docs.where("skill is not null").select(F.col("path").alias(end), F.col("skill").alias("of_" + end))
+    return edges.join(of("src"), "src").join(of("dst"), "dst").where("of_src <> of_dst").select(F.col("of_src").alias("src"), F.col("of_dst").alias("dst")).distinct()
+
+
+def _ends_meet(edges: DataFrame) -> DataFrame:
+    """Edges left once those that begin where none ends, or end where none begins, are gone, again and again."""
+    while True:
+        kept = cut_lineage(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if kept.count() == edges.count():
+            return kept
+        edges = kept
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of more than one node: ``node, component``.
+
+    Each round trims what lies on no cycle, gives every node the greatest name that reaches it, and follows the
+    edges back from the nodes that kept their own name: what is met under the same name is a component. Work follows the
+    edges, never pairs of nodes.
+    """
+    rest, found = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct()), None
+    while not (rest := _ends_meet(rest)).isEmpty():
+        colour = cut_lineage(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            into = rest.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("seen"))
+            after = cut_lineage(colour.join(into, "node", "left").select("node", F.greatest("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") > F.col("colour")).alias("changed")))
+            colour = after.select("node", "colour")
+            if after.where("changed").isEmpty():
+                break
+        # edges inside a colour, turned round; each colour's root is the node of that name
+        back = cut_lineage(rest.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select(F.col("dst").alias("from"), F.col("src").alias("node"), F.col("a").alias("component")))
+        met = cut_lineage(colour.where("node = colour").select("node", F.col("colour").alias("component")))
+        frontier = met
+        while not frontier.isEmpty():
+            step = back.join(frontier.select(F.col("node").alias("from"), "component"), ["from", "component"]).select("node", "component").distinct()
+            frontier = cut_lineage(step.join(met, ["node", "component"], "left_anti"))
+            met = cut_lineage(met.unionByName(frontier))
+        found = met if found is None else found.unionByName(met)
+        inside = met.select("node")
+        rest = cut_lineage(rest.join(inside.withColumnRenamed("node", "src"), "src", "left_anti").join(inside.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    # a node alone in its colour lies on no cycle
+    return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+
+
+def cyclic_edges(edges: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """J8, as a relation: edges on a cycle, with their component. A superset of the back edges of one walk."""
+    held = components(edges) if held is None else held
+    return edges.join(held.withColumnRenamed("node", "src"), "src").join(held.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("src", "dst", "component")
 
 
 def unresolved_references(docs: DataFrame) -> DataFrame:
@@ -299,32 +407,17 @@ def h31_gate(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    docs = latest_documents(table(spark, sf_dir, "documents"))
-    # links name references by topic; the file of that number in the same directory stands for it
-    return docs
-
-
-def _related_edges(docs: DataFrame) -> DataFrame:
-    """Edges of a test graph: a document to the next documents of its skill by path."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("skill").orderBy("path")
-    rows = docs.where("skill is not null").select("skill", "path", F.lead("path").over(w).alias("n1"), F.lead("path", 3).over(w).alias("n3"), F.first("path").over(w).alias("top"), F.row_number().over(w).alias("i"))
-    arrows = rows.select(F.col("path").alias("src"), F.explode(F.array_compact(F.array("n1", "n3", F.when(F.col("i") % 4 == 0, F.col("top"))))).alias("dst"))
-    return arrows.where("src <> dst").distinct()
+    return latest_documents(table(spark, sf_dir, "documents"))
 
 
 def h01_closure(spark, sf_dir):
+    """What every document leads to by links, with the least number of them."""
     docs = _graph(spark, sf_dir)
-    edges = cut_lineage(_related_edges(docs))
-    starts = docs.where("path like '%-1_.md'").select(F.col("path").alias("start"))
-    return closure(edges, starts)
+    return closure(cut_lineage(link_edges(docs)), docs.select(F.col("path").alias("start")))
 
 
-def h01_closure_all(spark, sf_dir):
-    """The closure from every document."""
-    docs = _graph(spark, sf_dir)
-    return closure(cut_lineage(_related_edges(docs)), docs.select(F.col("path").alias("start")))
+def h01_edges(spark, sf_dir):
+    return link_edges(_graph(spark, sf_dir))
 
 
 def h02_links(spark, sf_dir):
@@ -335,19 +428,23 @@ def j07_unresolved(spark, sf_dir):
     return unresolved_references(_graph(spark, sf_dir))
 
 
-def j08_cycles(spark, sf_dir):
+def linked_skills(spark, sf_dir):
     docs = _graph(spark, sf_dir)
-    edges = cut_lineage(_related_edges(docs))
-    return cyclic_edges(edges, closure(edges, docs.select(F.col("path").alias("start"))))
+    return cut_lineage(skill_edges(link_edges(docs), docs))
+
+
+def j08_cycles(spark, sf_dir):
+    """Skills whose documents refer to each other in a circle, and by which references."""
+    return cyclic_edges(linked_skills(spark, sf_dir)).select("src", "dst")
 
 
 def j13_surface(spark, sf_dir):
     docs = _graph(spark, sf_dir)
-    return behavior_surface(docs, _related_edges(docs))
+    return behavior_surface(docs, surface_edges(docs))
 
 
 def j15_impacted(spark, sf_dir):
     docs = _graph(spark, sf_dir)
     before, after = _two(spark, sf_dir)
     changed = snapshot_diff(before, after, ["skill", "path"]).where("kind <> 'same'").select("path")
-    return impacted_skills(behavior_surface(docs, _related_edges(docs)), changed)
+    return impacted_skills(behavior_surface(docs, surface_edges(docs)), changed)

@@ -129,7 +129,7 @@ fence as (select *, regexp_matches(trim(line), '^(?:`{{3,}}|~{{3,}})') as is_fen
 outside as (select project, rel, kind, line_no, line from (select *, sum(is_fence::int) over (partition by project, rel, kind order by line_no) as seen from fence) where not is_fence and seen % 2 = 0),
 links as (select project, rel, kind, line_no, label, string_split(raw, '#')[1] as link from (select project, rel, kind, line_no, unnest(regexp_extract_all(line, '(?:\[([^\[\]\n]*))?\]\(([^)\s#]+\.md[^)]*)\)', 1)) as label, unnest(regexp_extract_all(line, '(?:\[([^\[\]\n]*))?\]\(([^)\s#]+\.md[^)]*)\)', 2)) as raw from outside)),
 led as (select l.*, l.link as dst from links l where exists (from files f where f.project = l.project and f.path = l.link)
-  union all select l.*, k.path from links l join (select distinct project, path, skill_name, regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as dir from t where path is not null) k
+  union all select l.*, k.path from links l join (select project, min(path) as path, skill_name, regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as dir from t where path is not null group by all) k
   on k.project = l.project and k.skill_name = l.label and k.dir = regexp_replace(regexp_replace(l.link, '[^/]*$', ''), '/$', '') where not exists (from files f where f.project = l.project and f.path = l.link)),
 fm as (select rel, kind, line_no, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):(.*)$', 1) as key, trim(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):(.*)$', 2)) as value, line as raw from
   (select l.*, min(line_no) filter (line_no > 1 and trim(line) = '---') over (partition by rel) as e, max(case when line_no = 1 then trim(line) end) over (partition by rel) as first_line from l)
