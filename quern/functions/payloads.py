@@ -29,36 +29,35 @@ def text_of(fields: Column, key: str) -> Column:
     return F.try_variant_get(fields[F.lit(key)], "$", "string")
 
 
-def _kind_in(value: Column) -> Column:
-    """The kind that a variant names: itself, its ``name``, or its only element."""
-    return F.coalesce(
-        F.try_variant_get(value, "$.name", "string"),
-        F.try_variant_get(value, "$[0]", "string"),
-        F.try_variant_get(value, "$", "string"),
-    )
+def _known_kind(value: Column) -> Column:
+    """The kind that a variant names: itself, its ``name``, or the first of its elements that is one."""
+    known = list(PAYLOAD_KINDS)
+    own, name = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$.name", "string")
+    listed = F.get(F.filter(F.try_variant_get(value, "$", "array<string>"), lambda x: x.isin(known)), F.lit(0))
+    return F.coalesce(F.when(own.isin(known), own), F.when(name.isin(known), name), listed)
 
 
 def payload_kind(record_type: Column, fields: Column) -> Column:
     """Kind of a rollout record, whatever field or form holds its name; null if none is known."""
-    known = list(PAYLOAD_KINDS)
-    direct = [_kind_in(fields[F.lit(k)]) for k in KIND_FIELDS]
     entries = F.map_entries(fields)
-    renamed = F.filter(entries, lambda e: plain_name(e["key"]).isin("type", "kind") & _kind_in(e["value"]).isin(known))
-    anywhere = F.filter(entries, lambda e: _kind_in(e["value"]).isin(known))
+    renamed = F.filter(entries, lambda e: plain_name(e["key"]).isin("type", "kind") & _known_kind(e["value"]).isNotNull())
+    anywhere = F.filter(entries, lambda e: _known_kind(e["value"]).isNotNull())
     return F.when(record_type == "session_meta", F.lit("session_meta")).otherwise(
-        F.coalesce(
-            *[F.when(d.isin(known), d) for d in direct],
-            _kind_in(F.get(renamed, F.lit(0))["value"]),
-            _kind_in(F.get(anywhere, F.lit(0))["value"]),
-        )
+        F.coalesce(*(_known_kind(fields[F.lit(k)]) for k in KIND_FIELDS), _known_kind(F.get(renamed, F.lit(0))["value"]), _known_kind(F.get(anywhere, F.lit(0))["value"]))
     )
 
 
-def call_id_of(fields: Column) -> Column:
-    """The call that a payload names, under whichever spelling of ``call_id``; null or '' is none."""
+def ids_in(value: Column) -> Column:
+    """The identifiers that a variant holds: itself, or each of its elements; no null and no empty ones."""
+    ids = F.coalesce(F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<string>")), F.array(F.try_variant_get(value, "$", "string")))
+    return F.array_distinct(F.filter(ids, lambda v: v.isNotNull() & (v != "")))
+
+
+def call_ids_of(fields: Column) -> Column:
+    """The calls that a payload names, under whichever spelling of ``call_id``; null if no field is spelled so."""
     held = F.filter(F.map_entries(fields), lambda e: plain_name(e["key"]) == "callid")
-    values = F.transform(held, lambda e: F.coalesce(F.try_variant_get(e["value"], "$[0]", "string"), F.try_variant_get(e["value"], "$", "string")))
-    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
+    ids = F.transform(held, lambda e: ids_in(e["value"]))
+    return F.when(F.size(held) > 0, F.coalesce(F.get(F.filter(ids, lambda x: F.size(x) > 0), F.lit(0)), F.array().cast("array<string>")))
 
 
 def json_type_of(value: Column) -> Column:

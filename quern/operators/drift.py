@@ -5,12 +5,14 @@ and fused per file and kind into ``field -> {type: records}``, keeping every
 alternative. Fusing is a plain aggregate with map-side combine, so neither a large
 file nor a frequent kind is a hot spot; what is gathered per file and kind is one
 entry per distinct field. The fused schemas are compared with the catalogue to
-report changes, and each record is read into the catalogue's table of its kind:
-canonical column, plus a typed branch for a value of another type.
+report changes, and each record is read into the catalogue's table of its kind: a
+canonical column, a typed branch for each other type a value may have, and all other
+fields in a map. Alternatives come with the first and last arrival of a record that holds them.
 
 Defined results: unreadable payloads and payloads that are no object have no fields;
 null values have no type but their field is present; kinds not in the catalogue are
-left out; an empty input gives an empty result.
+left out; numbers keep their digits (text, and decimal(38) where it is a whole number); a value that the canonical type cannot
+hold is null there and stands in its branch; an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,30 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.payloads import fields_of, json_type_of, payload_kind
-from quern.session import evaluated, table
+from quern.session import cut_lineage, evaluated, table
 
 FILE_KIND = ["stream", "file_name", "record_kind"]
 
 
 def typed_records(rollout: DataFrame, export: DataFrame) -> DataFrame:
-    """Records of both streams: ``stream, row_id, file_name, record_kind, fields``."""
-    a = evaluated(rollout.select(F.lit("rollout").alias("stream"), "row_id", F.col("log_file").alias("file_name"), F.col("type"), "payload"), {"fields": fields_of(F.col("payload"))}).drop("payload")
+    """Records of both streams: ``stream, row_id, file_name, record_kind, fields, json, loaded_at``."""
+    a = evaluated(rollout.select(F.lit("rollout").alias("stream"), "row_id", F.col("log_file").alias("file_name"), F.col("type"), F.col("payload").alias("json"), "loaded_at"), {"fields": fields_of(F.col("json"))})
     a = evaluated(a, {"record_kind": payload_kind(F.col("type"), F.col("fields"))}).drop("type")
-    b = evaluated(export.select(F.lit("session_export").alias("stream"), "row_id", F.col("export_file").alias("file_name"), "record"), {"fields": fields_of(F.col("record")), "record_kind": F.lit("session")}).drop("record")
+    b = evaluated(export.select(F.lit("session_export").alias("stream"), "row_id", F.col("export_file").alias("file_name"), F.col("record").alias("json"), "loaded_at"), {"fields": fields_of(F.col("json")), "record_kind": F.lit("session")})
     return a.unionByName(b).where("fields is not null and record_kind is not null")
 
 
-def fuse_schemas(records: DataFrame) -> DataFrame:
-    """Tagged unions per file and kind: ``records`` and ``fields: [{field, n, types}]``."""
+def fuse_schemas(records: DataFrame, timed: bool = False) -> DataFrame:
+    """Tagged unions per file and kind: ``records`` and ``fields: [{field, n, types}]``, alternatives ``timed`` if asked for."""
     # records of one file mostly have one shape: counting shapes first leaves few rows to shuffle,
     # and what follows is grouped within the partitions of a file and kind
     shape = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), json_type_of(e["value"]).alias("json_type"))))
-    shapes = records.select(*FILE_KIND, shape.alias("shape")).groupBy(*FILE_KIND, "shape").agg(F.count("*").alias("n")).repartition(*FILE_KIND)
+    times = [F.min("loaded_at").alias("first_seen"), F.max("loaded_at").alias("last_seen")] if timed else []
+    again = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")] if timed else []
+    seen = ["first_seen", "last_seen"] if timed else []
+    shapes = records.select(*FILE_KIND, "loaded_at", shape.alias("shape")).groupBy(*FILE_KIND, "shape").agg(F.count("*").alias("n"), *times).repartition(*FILE_KIND)
     # one entry without a name stands for the record itself
     whole = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("json_type")))
-    tagged = shapes.select(*FILE_KIND, "n", F.explode(F.concat(whole, "shape")).alias("e")).select(*FILE_KIND, "n", "e.field", "e.json_type")
-    per_type = tagged.groupBy(*FILE_KIND, "field", "json_type").agg(F.sum("n").alias("n"))
-    alternatives = F.collect_list(F.when(F.col("json_type").isNotNull(), F.struct("json_type", "n")))
+    tagged = shapes.select(*FILE_KIND, "n", *seen, F.explode(F.concat(whole, "shape")).alias("e")).select(*FILE_KIND, "n", *seen, "e.field", "e.json_type")
+    per_type = tagged.groupBy(*FILE_KIND, "field", "json_type").agg(F.sum("n").alias("n"), *again)
+    alternatives = F.collect_list(F.when(F.col("json_type").isNotNull(), F.struct("json_type", "n", *seen)))
     per_field = per_type.groupBy(*FILE_KIND, "field").agg(F.sum("n").alias("n"), F.array_sort(alternatives).alias("types"))
     return per_field.groupBy(FILE_KIND).agg(
         F.max(F.when(F.col("field").isNull(), F.col("n"))).alias("records"),
@@ -87,21 +92,43 @@ def schema_changes(fused: DataFrame, field_catalog: DataFrame) -> DataFrame:
     return df.select(*FILE_KIND, F.explode(rows).alias("r")).select(*FILE_KIND, "r.field", "r.change", "r.now")
 
 
-def _canonical(value, json_type: str):
-    """A variant read as the catalogue's type where that loses nothing; null otherwise."""
+BRANCHES = ("string", "number", "boolean", "object", "array")
+
+
+def _typed(text, json_type: str):
+    """JSON text, or that of a string, as a column of a type; null where it cannot be read so."""
     if json_type == "number":
-        return F.try_variant_get(value, "$", "double")
-    if json_type == "boolean":
-        return F.try_variant_get(value, "$", "boolean")
-    return F.try_variant_get(value, "$", "string")  # objects and arrays as their JSON text
+        return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(text.isin("true", "false"), text == "true") if json_type == "boolean" else text
+
+
+NUMBER = r"^\s*-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def field_values(records: DataFrame, changes: DataFrame, field_catalog: DataFrame) -> DataFrame:
+    """Every value of every record in one form: ``stream, row_id, file_name, record_kind, field, held_as, json_type, value, part``.
+
+    ``field`` is the catalogue's name, ``held_as`` the one in the file; ``part`` is ``canonical``, ``branch`` (another type than the
+    catalogue's) or ``extra`` (no catalogued field). ``value`` is the string, or the JSON text as written.
+    """
+    renames = changes.where("change = 'renamed'").groupBy(FILE_KIND).agg(F.map_from_entries(F.collect_list(F.struct("now", "field"))).alias("renames"))
+    wanted = F.broadcast(field_catalog.groupBy("stream", "record_kind").agg(F.map_from_entries(F.collect_list(F.struct("field", "json_type"))).alias("wanted")))  # a fixed table
+    rows = records.join(wanted, ["stream", "record_kind"]).join(renames, FILE_KIND, "left")
+    rows = evaluated(rows, {"texts": F.from_json("json", "map<string,string>")}).drop("json")
+    entries = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("held_as"), json_type_of(e["value"]).alias("json_type"), F.col("texts")[e["key"]].alias("value")))
+    flat = rows.select("stream", "row_id", "file_name", "record_kind", "wanted", "renames", F.inline(entries)).where("json_type is not null")
+    flat = flat.withColumn("field", F.coalesce(F.when(F.col("wanted")[F.col("held_as")].isNotNull(), F.col("held_as")), F.col("renames")[F.col("held_as")], "held_as"))
+    part = F.when(F.col("wanted")[F.col("field")].isNull(), "extra").when(F.col("wanted")[F.col("field")] == F.col("json_type"), "canonical").otherwise("branch")
+    return flat.select("stream", "row_id", "file_name", "record_kind", "field", "held_as", "json_type", "value", part.alias("part"))
 
 
 def unify_kind(records: DataFrame, changes: DataFrame, catalogue: list, stream: str, kind: str) -> DataFrame:
     """All files of one kind in one table as in the catalogue.
 
-    Each catalogued field has a canonical column and, for values of another type, the
-    branch ``<field>__type`` / ``<field>__other``. A renamed field is read under its
-    present name.
+    A catalogued field has a column of its type, holding other types where they can be read as it; for a
+    value of another type also ``<field>__type`` and the typed branches ``<field>__string``, ``__number``, ``__boolean``,
+    ``__object`` and ``__array`` (the last two as JSON text), and for a number ``<field>__digits`` (decimal(38) of a whole number).
+    A renamed field is read under its present name. Fields that are not catalogued are kept in ``extra``, as JSON text by name.
     """
     own = records.where((F.col("stream") == stream) & (F.col("record_kind") == kind))
     renames = (
@@ -109,18 +136,22 @@ def unify_kind(records: DataFrame, changes: DataFrame, catalogue: list, stream:
         .groupBy("file_name")
         .agg(F.map_from_entries(F.collect_list(F.struct("field", "now"))).alias("renames"))
     )
-    own = own.join(renames, "file_name", "left")
-    columns = ["row_id", "file_name"]
-    for c in sorted((c for c in catalogue if (c["stream"], c["record_kind"]) == (stream, kind)), key=lambda c: c["field"]):
-        name = F.coalesce(F.col("renames")[c["field"]], F.lit(c["field"]))
-        value = F.coalesce(F.element_at("fields", F.lit(c["field"])), F.element_at("fields", name))
-        kind_of = json_type_of(value)
-        other = kind_of.isNotNull() & (kind_of != c["json_type"])
-        columns += [
-            _canonical(value, c["json_type"]).alias(c["field"]),
-            F.when(other, kind_of).alias(f"{c['field']}__type"),
-            F.when(other, F.try_variant_get(value, "$", "string")).alias(f"{c['field']}__other"),
-        ]
+    own = evaluated(own.join(renames, "file_name", "left"), {"texts": F.from_json("json", "map<string,string>")}).drop("json")
+    wanted = sorted((c["field"], c["json_type"]) for c in catalogue if (c["stream"], c["record_kind"]) == (stream, kind))
+    own = evaluated(own, {f"name_{i}": F.coalesce(F.when(F.map_contains_key("fields", F.lit(field)), F.lit(field)), F.col("renames")[field], F.lit(field)) for i, (field, _) in enumerate(wanted)} | {"none": F.lit(None).cast("string")})
+    own = evaluated(own, {f"type_{i}": json_type_of(F.element_at("fields", F.col(f"name_{i}"))) for i in range(len(wanted))} | {"no_type": F.lit(None).cast("string")})
+    columns = ["row_id", "file_name", "loaded_at"]
+    for i, (field, json_type) in enumerate(wanted):
+        text, held = F.element_at("texts", F.col(f"name_{i}")), F.col(f"type_{i}")
+        # a string column holds any value as text, other columns their own type and strings that read as it
+        readable = held.isNotNull() if json_type == "string" else held.isin(json_type, "string") if json_type in ("number", "boolean") else held == json_type
+        columns.append(F.when(readable, _typed(text, json_type)).alias(field))
+        if json_type == "number":
+            columns.append(F.when(held.isin("number", "string") & text.rlike(r"^\s*-?[0-9]{1,38}\s*$"), text.try_cast("decimal(38,0)")).alias(f"{field}__digits"))
+        columns.append(F.when(held != json_type, held).alias(f"{field}__type"))
+        columns += [F.when(held == b, _typed(text, b)).alias(f"{field}__{b}") for b in BRANCHES if b != json_type]
+    known = F.array(*(F.col(f"name_{i}") for i in range(len(wanted))), *(F.lit(field) for field, _ in wanted))
+    columns.append(F.map_filter("texts", lambda k, v: ~F.array_contains(known, k)).alias("extra"))
     return own.select(*columns)
 
 
@@ -134,17 +165,26 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_unions(spark, sf_dir: str) -> DataFrame:
-    """Tagged union of each field over all files: the alternative types, how many records and files hold each, and the first and last file."""
-    fused = fuse_schemas(_records(spark, sf_dir))
+    """Tagged union of each field over all files: the alternative types, how many records and files hold each, and where and when each appeared first and last."""
+    fused = fuse_schemas(_records(spark, sf_dir), timed=True)
     flat = fused.select(*FILE_KIND, F.explode("fields").alias("f")).select(*FILE_KIND, "f.field", F.explode("f.types").alias("t"))
     return flat.groupBy("stream", "record_kind", "field", F.col("t.json_type").alias("json_type")).agg(
-        F.sum("t.n").alias("records"), F.count("*").alias("files"), F.min("file_name").alias("first_file"), F.max("file_name").alias("last_file")
-    )
+        F.sum("t.n").alias("records"), F.count("*").alias("files"), F.min("t.first_seen").alias("first_seen"), F.max("t.last_seen").alias("last_seen"),
+        F.min_by("file_name", F.struct("t.first_seen", "file_name")).alias("first_file"), F.max_by("file_name", F.struct("t.last_seen", "file_name")).alias("last_file"),
+    )
+
+
+def p2_values(spark, sf_dir: str) -> DataFrame:
+    """All values of all files under the catalogue's names; the tables of the kinds are its columns."""
+    records, catalogue = cut_lineage(_records(spark, sf_dir)), table(spark, sf_dir, "field_catalog")
+    return field_values(records, schema_changes(fuse_schemas(records), catalogue), catalogue)
 
 
 def unified_table(stream: str, kind: str):
     def query(spark, sf_dir: str) -> DataFrame:
-        records, catalogue = _records(spark, sf_dir), table(spark, sf_dir, "field_catalog")
+        # schemas are fused per file and kind, so the other kinds and the other stream are not read any further
+        records = cut_lineage(_records(spark, sf_dir).where((F.col("stream") == stream) & (F.col("record_kind") == kind)))
+        catalogue = table(spark, sf_dir, "field_catalog")
         changes = schema_changes(fuse_schemas(records), catalogue)
         return unify_kind(records, changes, catalogue.collect(), stream, kind)  # the catalogue is a fixed table
 

@@ -9,6 +9,7 @@ QUERIES = {
     "p1_by_month": orphans.p1_by_month,
     "p2_found": drift.p2_found,
     "p2_unions": drift.p2_unions,
+    "p2_values": drift.p2_values,
     "p2_table_session_meta": drift.unified_table("rollout", "session_meta"),
     "p2_table_user_message": drift.unified_table("rollout", "user_message"),
     "p2_table_agent_message": drift.unified_table("rollout", "agent_message"),
@@ -42,7 +43,7 @@ kinds as (select stream, row_id, arg_min(named, case when field = 'type' then 0
 rec as (select o.stream, o.row_id, o.file_name, o.loaded_at, case when o.stream = 'session_export' then 'session' when o.type = 'session_meta' then 'session_meta' else k.kind end as record_kind from obj o left join kinds k using (stream, row_id))
 """
 _ORPHANS = _FIELDS + """,
-ids as (select row_id, min(named) as call_id from fld where stream = 'rollout' and plain = 'callid' and named <> '' group by 1),
+ids as (select distinct row_id, unnest(case when json_type(v) = 'ARRAY' then from_json(v, '["varchar"]') else [v ->> '$'] end) as call_id from fld where stream = 'rollout' and plain = 'callid'),
 calls as (select r.row_id, r.file_name, r.loaded_at, r.record_kind, i.call_id from rec r join ids i using (row_id) where r.stream = 'rollout'),
 refs as (select 'oc_part' as tbl, row_id, 'message_id' as field, 'message' as entity, '' as scope, message_id as key, loaded_at from oc_part union all select 'oc_part', row_id, 'session_id', 'session', '', session_id, loaded_at from oc_part
   union all select 'rollout', row_id, 'call_id', 'call', file_name, call_id, loaded_at from calls where record_kind in ('exec_command_end', 'function_call_output')),
@@ -77,10 +78,15 @@ node as (select *, case t when 'OBJECT' then 'object' when 'ARRAY' then 'array'
 """
 _COLUMNS = "select row_id, label, owner as parent_label, path, {fields} from node "
 ORACLES: dict[str, str] = {
-    "p1_found": _ORPHANS + "select tbl, row_id, field, reason from orph where reason is not null",
+    "p1_found": _ORPHANS + "select distinct tbl, row_id, field, reason from orph where reason is not null",
     "p1_by_month": _ORPHANS + "select tbl, field, reason, strftime(loaded_at, '%Y-%m') as month, count(*) as n from orph where reason is not null group by all",
     "p2_found": _DRIFT + "select * from changes",
-    "p2_unions": _DRIFT + "select stream, record_kind, field, json_type, sum(n)::bigint as records, count(*) as files, min(file_name) as first_file, max(file_name) as last_file from (select r.stream, r.file_name, r.record_kind, f.field, f.json_type, count(*) as n from rec r join fld f using (stream, row_id) where record_kind is not null and f.json_type is not null group by all) group by all",
+    "p2_unions": _DRIFT + """select stream, record_kind, field, json_type, sum(n)::bigint as records, count(*) as files, min(first_seen) as first_seen, max(last_seen) as last_seen, arg_min(file_name, row(first_seen, file_name)) as first_file, arg_max(file_name, row(last_seen, file_name)) as last_file
+from (select r.stream, r.file_name, r.record_kind, f.field, f.json_type, count(*) as n, min(loaded_at) as first_seen, max(loaded_at) as last_seen from rec r join fld f using (stream, row_id) where record_kind is not null and f.json_type is not null group by all) group by all""",
+    "p2_values": _DRIFT + """, named as (select r.stream, r.row_id, r.file_name, r.record_kind, f.field as held_as, f.json_type, f.v ->> '$' as value, coalesce(c.field, j.field, f.field) as field from rec r join fld f using (stream, row_id)
+  left join field_catalog c on c.stream = r.stream and c.record_kind = r.record_kind and c.field = f.field left join judged j on j.stream = r.stream and j.file_name = r.file_name and j.record_kind = r.record_kind and j.now = f.field
+  where r.record_kind is not null and f.json_type is not null and (r.stream, r.record_kind) in (select (stream, record_kind) from field_catalog))
+select n.stream, row_id, file_name, n.record_kind, n.field, held_as, n.json_type, value, case when c.field is null then 'extra' when c.json_type = n.json_type then 'canonical' else 'branch' end as part from named n left join field_catalog c on c.stream = n.stream and c.record_kind = n.record_kind and c.field = n.field""",
     "p4_found": _NODES + "select tbl, row_id, path from node where kind = 'object' and in_array",
     "p4_schema_paths": _NODES + 'select tbl, schema_path, kind, count(*) as nodes, count(distinct row_id) as "rows" from node group by all',
     "p4_fields": _NODES + "select n.tbl, n.row_id, o.schema_path, o.label, o.owner as parent_label, n.label as at, n.name, n.kind, case when n.kind <> 'null' then n.j ->> '$' end as value from node n join node o on o.tbl = n.tbl and o.row_id = n.row_id and o.label = n.owner where n.kind not in ('object', 'array')",

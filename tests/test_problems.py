@@ -120,14 +120,54 @@ def test_kind_in_any_holder(spark):
 
 
 def test_unified_table(spark):
-    rollout = spark.createDataFrame([(1, "a", 1, "event_msg", '{"type":"message","role":"user","content":[1]}'), (2, "b", 1, "event_msg", '{"type":"message","speaker":"user","content":"x"}'), (3, "b", 2, "event_msg", "{cut")], "row_id bigint, log_file string, line_no int, type string, payload string")
-    export = spark.createDataFrame([], "row_id bigint, export_file string, record string")
-    catalogue = spark.createDataFrame([("rollout", "message", "type", "string", True), ("rollout", "message", "role", "string", True), ("rollout", "message", "content", "array", True)], "stream string, record_kind string, field string, json_type string, required boolean")
+    big = 2**53 + 1
+    rows = [
+        (1, "a", '{"type":"message","role":"user","content":[1],"size":%d}' % big), (2, "b", '{"type":"message","speaker":"user","content":"x","size":"7","mood":{"z":1,"a":2}}'), (3, "b", "{cut"),
+        (4, "a", '{"type":"message","role":7,"content":[],"size":%s}' % ("9" * 38)), (5, "a", '{"type":"message","role":null,"content":{"k":[]},"size":1.5,"mood":true}'),
+    ]
+    rollout = spark.createDataFrame([(i, f, 1, "event_msg", p, None) for i, f, p in rows], "row_id bigint, log_file string, line_no int, type string, payload string, loaded_at timestamp")
+    export = spark.createDataFrame([], "row_id bigint, export_file string, record string, loaded_at timestamp")
+    fields = [("type", "string"), ("role", "string"), ("content", "array"), ("size", "number")]
+    catalogue = spark.createDataFrame([("rollout", "message", f, t, True) for f, t in fields], "stream string, record_kind string, field string, json_type string, required boolean")
     records = drift.typed_records(rollout, export)
     found = drift.schema_changes(drift.fuse_schemas(records), catalogue)
-    assert {tuple(r) for r in found.select("file_name", "field", "change", "now").collect()} == {("b", "role", "renamed", "speaker"), ("b", "content", "retyped", None)}
-    rows = {r["row_id"]: r for r in drift.unify_kind(records, found, catalogue.collect(), "rollout", "message").collect()}
-    assert rows[2]["role"] == "user" and rows[2]["content__type"] == "string" and rows[2]["content__other"] == "x" and rows[1]["content__type"] is None and set(rows) == {1, 2}
+    assert {tuple(r) for r in found.where("file_name = 'b'").select("file_name", "field", "change", "now").collect()} == {("b", "role", "renamed", "speaker"), ("b", "content", "retyped", None), ("b", "size", "retyped", None), ("b", "mood", "added", None)}
+    got = {r["row_id"]: r for r in drift.unify_kind(records, found, catalogue.collect(), "rollout", "message").collect()}
+    assert set(got) == {1, 2, 4, 5} and got[1]["size__digits"] == big and got[4]["size__digits"] == 10**38 - 1 and got[2]["size"] == 7.0 and got[2]["size__type"] == "string" and got[2]["size__string"] == "7"
+    assert got[2]["role"] == "user" and got[2]["content__type"] == "string" and got[2]["content__string"] == "x" and got[2]["content"] is None and got[1]["content"] == "[1]" and got[1]["content__type"] is None
+    assert got[4]["role"] == "7" and got[4]["role__number"] == 7.0 and got[5]["role"] is None and got[5]["content__object"] == '{"k":[]}' and got[5]["size"] == 1.5 and got[5]["size__digits"] is None
+    assert got[2]["extra"] == {"mood": '{"z":1,"a":2}'} and got[5]["extra"] == {"mood": "true"} and got[1]["extra"] == {}
+    values = {(r["row_id"], r["field"]): (r["held_as"], r["value"], r["part"]) for r in drift.field_values(records, found, catalogue).collect()}
+    assert values[2, "role"] == ("speaker", "user", "canonical") and values[2, "mood"] == ("mood", '{"z":1,"a":2}', "extra") and values[1, "size"] == ("size", str(big), "canonical") and values[4, "role"][2] == "branch" and (5, "role") not in values
+
+
+def test_calls_under_any_name(spark):
+    """A file that calls the identifier something else altogether is read under the name its schema shows."""
+    p = lambda kind, name, value: json.dumps({"type": kind, name: value, **({"output": "ok"} if kind == "function_call_output" else {"name": "shell", "arguments": "{}"})})
+    rows = [
+        (1, "a", p("function_call", "invocation", "c1")), (2, "a", p("function_call_output", "handle", "c1")), (3, "a", p("function_call_output", "handle", "c2")),
+        (4, "b", p("function_call", "callId", "c1")), (5, "b", p("function_call_output", "x_call_id", ["c1", "c9", None, ""])), (6, "b", p("function_call_output", "call_id", None)), (7, "b", p("function_call_output", "call_id", ["c8", "c9"])),
+    ]
+    at = "2025-01-01 00:00:00"
+    rollout = spark.createDataFrame([(i, f, "response_item", t, at) for i, f, t in rows], "row_id bigint, log_file string, type string, payload string, loaded_at string").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    kinds = {"function_call": {"type": "string", "call_id": "string", "name": "string", "arguments": "string"}, "function_call_output": {"type": "string", "call_id": "string", "output": "string"}}
+    # names and outputs are strings too, but catalogued: the only uncatalogued string in all records stands for the only missing one
+    catalogue = spark.createDataFrame([("rollout", k, f, t, True) for k, fields in kinds.items() for f, t in fields.items()], "stream string, record_kind string, field string, json_type string, required boolean")
+    calls = orphans.call_references(rollout, catalogue)
+    assert {(r["row_id"], r["call_id"]) for r in calls.collect()} == {(1, "c1"), (2, "c1"), (3, "c2"), (4, "c1"), (5, "c1"), (5, "c9"), (7, "c8"), (7, "c9")}
+    empty = lambda schema: spark.createDataFrame([], schema)
+    refs, targets = orphans.references_and_targets(empty("row_id bigint, message_id string, session_id string, loaded_at timestamp"), empty("id string, loaded_at timestamp"), empty("id string, loaded_at timestamp"), rollout, catalogue)
+    dead = empty("entity string, record_key string, deleted_at timestamp, restored_at timestamp")
+    assert {(r["row_id"], r["reason"]) for r in orphans.find_orphans(refs, targets, dead).select("row_id", "reason").distinct().collect()} == {(3, "missing"), (5, "missing"), (7, "missing")}
+
+
+def test_counts_of_months(spark):
+    rows = [("late", "2025-01-05"), ("late", "2025-01-25"), ("late", "2025-02-01"), ("late", None), ("none", "2025-01-05"), ("none", None), ("there", "2025-03-01")]
+    refs = spark.createDataFrame([("t", i, "f", "message", "", k, at) for i, (k, at) in enumerate(rows)], "tbl string, row_id bigint, field string, entity string, scope string, key string, loaded_at string").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    targets = spark.createDataFrame([("message", "", "late", "2025-01-20"), ("message", "", "there", "2024-01-01")], "entity string, scope string, key string, loaded_at string").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    dead = spark.createDataFrame([], "entity string, record_key string, deleted_at timestamp, restored_at timestamp")
+    for share in (1e-9, 2.0):
+        assert {(r["reason"], r["month"], r["n"]) for r in orphans.count_orphans(refs, targets, dead, share).collect()} == {("late", "2025-01", 1), ("missing", "2025-01", 1), ("missing", None, 1)}
 
 
 def test_nested_like_brute_force(spark, duck, sf_dir):
