@@ -62,7 +62,7 @@ def read_times(df: DataFrame, text: Column, prefix: str = "t_") -> DataFrame:
     column = lambda name: F.col(p + name)
     matched = F.regexp_replace(F.trim(text), PATTERN, REPLACEMENT)
     df = evaluated(df, {p + "m": matched})
-    df = evaluated(df, {p + "x": F.when(column("m").startswith(_MARK), F.split(F.substring(column("m"), 2, 400), r"\|", -1))})
+    df = evaluated(df, {p + "x": F.when(column("m").startswith(_MARK), F.split(column("m").substr(F.lit(2), F.length(column("m"))), r"\|", -1))})
     part = {name: F.get(column("x"), F.lit(i)) for i, name in enumerate(PARTS)}
     whole = lambda c: F.nullif(c, F.lit("")).try_cast("bigint")
 

@@ -4,9 +4,10 @@
 clock. Where that clock shows a time twice, the reading depends on the line before
 it. Such lines are rare (one hour a year), so only their files are looked at: the
 line before is found with a window inside blocks of ``BLOCK`` lines plus what the
-blocks before it end with, and no task holds a whole file. Once a line of an
-unbroken run of such lines takes the later reading, so does the rest of the run;
-this makes the rule a running maximum and not a loop over lines.
+blocks before it end with, and no task holds a whole file, even one written in that hour only. Once a line of an
+unbroken run of such lines takes the later reading, so does the rest of the run: a line is late
+if the last line that went back lies after the last one that began a run, two running
+maxima that add up over blocks. Texts are read once, into narrow rows that are written before their files are looked at.
 
 Defined results: null, empty, impossible and placeholder times, and local times that
 a clock skips, have no instant; a machine without a known zone runs on UTC; if both
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.instants import OWN_ISO, read_times, readings_of
 from quern.functions.payloads import fields_of, text_of
-from quern.session import evaluated, table
+from quern.session import cut_lineage, evaluated, table
 
 BLOCK = 4096
 
@@ -64,10 +65,15 @@ def settle_twice(df: DataFrame, block: int = BLOCK) -> DataFrame:
     marked = lines.withColumn("prev", inside).where("early is not null").join(carried, ["log_file", "block"], "left").withColumn("prev", F.coalesce("prev", "carried"))
     # two repeated hours of one clock lie months apart, so a gap of over a day starts a new run
     new_run = F.col("prev").isNull() | ~F.col("prev.twice") | (F.abs(F.col("prev.at") - F.col("early")) > 86400)
-    in_order = Window.partitionBy("log_file").orderBy("line_no")
-    marked = marked.withColumn("run", F.sum(new_run.cast("int")).over(in_order)).withColumn("before", F.coalesce(F.col("early") < F.col("prev.at"), F.lit(False)))
-    so_far = Window.partitionBy("log_file", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    settled = marked.select("log_file", "line_no", F.when(F.max("before").over(so_far), F.col("late")).otherwise(F.col("early")).alias("settled"))
+    before = F.coalesce(F.col("early") < F.col("prev.at"), F.lit(False))
+    marked = marked.select("log_file", "block", "line_no", "early", "late", F.when(new_run, F.col("line_no")).alias("began"), F.when(before, F.col("line_no")).alias("back"))
+    blocks = marked.groupBy("log_file", "block").agg(F.max("began").alias("began"), F.max("back").alias("back"))
+    earlier = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("log_file", "block", F.max("began").over(earlier).alias("began_before"), F.max("back").over(earlier).alias("back_before"))
+    so_far = Window.partitionBy("log_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({"began": F.max("began").over(so_far), "back": F.max("back").over(so_far)}).join(blocks, ["log_file", "block"])
+    is_late = F.coalesce(F.greatest("back", "back_before") >= F.greatest("began", "began_before"), F.lit(False))
+    settled = marked.select("log_file", "line_no", F.when(is_late, F.col("late")).otherwise(F.col("early")).alias("settled"))
     found = twice.join(settled, ["log_file", "line_no"], "left").withColumn("sec", F.coalesce("settled", "early")).drop("settled", "early", "late")
     return plain.unionByName(found)
 
@@ -77,6 +83,12 @@ def log_instants(df: DataFrame, text, zones: DataFrame) -> DataFrame:
     return settle_twice(with_readings(df, text, zones))
 
 
+def narrow_instants(df: DataFrame, zones: DataFrame) -> DataFrame:
+    """``row_id, sec, nano, own_form`` of readable times: ``log_instants`` over rows that are read once and written narrow."""
+    read = with_readings(df, F.col("text"), zones).withColumn("own_form", F.col("text").rlike(OWN_ISO)).where("sec is not null or early is not null")
+    return settle_twice(cut_lineage(read.select("row_id", "log_file", "line_no", "sec", "nano", "early", "late", "own_form")))
+
+
 def meta_times(rollout: DataFrame) -> DataFrame:
     metas = rollout.where("type = 'session_meta'")
     return metas.select("row_id", "log_file", "line_no", "machine", text_of(fields_of(F.col("payload")), "timestamp").alias("text"))
@@ -99,8 +111,7 @@ def p3_all(spark, sf_dir: str) -> DataFrame:
     parts = []
     session = table(spark, sf_dir, "session_one").select("row_id", "log_file", "line_no", "machine", F.col("timestamp").alias("text"))
     for name, df in (("session_one", session), ("rollout", meta_times(table(spark, sf_dir, "rollout")))):
-        read = log_instants(df, F.col("text"), zones)
-        parts.append(read.select(F.lit(name).alias("tbl"), "row_id", _utc_ms().alias("utc_ms"), F.col("text").rlike(OWN_ISO).alias("own_form")))
+        parts.append(narrow_instants(df, zones).select(F.lit(name).alias("tbl"), "row_id", _utc_ms().alias("utc_ms"), "own_form"))
     read = message_instants(table(spark, sf_dir, "oc_message").select("row_id", "time_created"))
     parts.append(read.select(F.lit("oc_message").alias("tbl"), "row_id", _utc_ms().alias("utc_ms"), F.length("time_text").between(12, 14).alias("own_form")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("utc_ms is not null")
