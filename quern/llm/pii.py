@@ -44,7 +44,10 @@ def rollout_texts(rollout: DataFrame) -> DataFrame:
     likely = rollout.where("contains(payload, 'user_message') or contains(payload, 'agent_message')")
     rows = evaluated(likely.select("row_id", "type", "payload"), {"fields": fields_of(F.col("payload"))}).drop("payload")
     rows = evaluated(rows, {"kind": payload_kind(F.col("type"), F.col("fields"))}).where("kind in ('user_message', 'agent_message')")
-    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$[0]", "string"))
+    # a message held as a list is the strings and the texts of its blocks, one below the other
+    element = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.try_variant_get(x, "$.text", "string"))
+    listed = lambda v: F.nullif(F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), element), "\n"), F.lit(""))
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.schema_of_variant(v).startswith("ARRAY"), listed(v)).when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.text", "string"))
     named = [string(F.element_at("fields", F.lit(k))) for k in ("message", "text", "body", "content", "msg")]
     renamed = F.filter(F.map_entries("fields"), lambda e: plain_name(e["key"]).isin("message", "text", "body", "content", "msg"))
     text = F.coalesce(*named, string(F.get(renamed, F.lit(0))["value"]))

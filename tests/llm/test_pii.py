@@ -2,10 +2,14 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
+import pii_phrases
 import pytest
 
 from quern.llm import pii
+from quern.llm import pii_model
 from quern.llm.pii_model import Gazetteer, candidates, decode, make_example, train
 
 
@@ -30,6 +34,25 @@ def test_held_out_examples(model):
     assert right / found > 0.96 and right / wanted > 0.96
 
 
+def test_phrasing_never_trained_on(model):
+    names, wanted, found, wrong = model[0], Counter(), Counter(), 0
+    for text, kind in pii_phrases.examples(list(names)):
+        got = kinds(model, text)
+        wanted[kind] += 1
+        found[kind] += kind in got
+        wrong += len(got - {kind})
+    assert wanted.total() >= 200 and all(found[k] / wanted[k] >= 0.9 for k in wanted), (wanted, found)
+    assert wrong <= 0.02 * wanted.total() and sum(bool(kinds(model, d)) for d in pii_phrases.DECOYS) <= 2
+
+
+def test_sentences_are_not_those_of_the_tables(duck):
+    """No run of three words of a training sentence stands in what is said in the tables."""
+    said = "\n".join(t for (t,) in duck.execute("select message.content from session_one where message.content is not null union all select payload from rollout where payload is not null").fetchall()).lower()
+    made = [*pii_model._FILL, *(x for group in (pii_model._BEFORE, pii_model._AFTER) for many in group.values() for x in many)]
+    runs = {" ".join(w[i : i + 3]) for p in made for part in re.split(r"\{.\}", p.lower()) for w in [part.split()] for i in range(len(w) - 2)}
+    assert len(runs) > 100 and not [r for r in runs if r in said]
+
+
 CASES = {
     "send it to a.b+c@example.org please": {"email"}, "my mail is KELA_B [at] post.example.org": {"email"}, "cc k at corp dot example dot net": {"email"}, "ssh deploy@node-13.test and look": set(),
     "clone it from git@forge.test:tools/a-b.git": set(), "pin the package to tool@88.2.1": set(), "@reviewer pattern kept": set(), "ring +44 (0)20 7946 0628 if it hangs": {"phone"}, "call me on 402 555 0181 ext. 75": {"phone"},
