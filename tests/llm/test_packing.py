@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from quern.llm import packing
 from quern.llm.packing import pack_documents, pack_items
 
 
@@ -68,3 +69,64 @@ def test_another_source_is_found_among_all_bins_of_equal_room():
     items = [(i, 6, "a", None) for i in range(30)] + [(30, 6, "b", None), (31, 4, "a", None)]
     at = {key: b for b, key, *_ in pack_items(items, 10)}
     assert at[31] == at[30]
+
+
+def test_sources_meet_only_where_room_would_be_lost():
+    rng = random.Random(4)
+    items = [(i, rng.randrange(10, 300), i % 7 if i % 3 else "large", None) for i in range(1500)]
+    placed = pack_items(items, 1000)
+    used = check(items, placed, 1000)
+    assert used <= sum(s for _, s, _, _ in items) / 1000 * 1.02 + 2
+    held = defaultdict(list)
+    for b, key, *_ in placed:
+        held[b].append(items[key][2])
+    twice = {s: sum(v.count(s) > 1 for v in held.values()) / used for s in [*range(7), "large"]}
+    assert all(twice[s] < 0.15 for s in range(7)), twice  # a seventh of two thirds of 1500 fits apart, a third of them does not
+
+
+def test_looking_at_all_bins_is_the_same(monkeypatch):
+    rng = random.Random(9)
+    items = [(i, rng.choice([0, 5, 8, rng.randrange(1, 30)]), rng.randrange(4), rng.choice([None, rng.randrange(6)])) for i in range(800)]
+    want = pack_items(items, 40)
+    monkeypatch.setattr(packing, "NEAR", 1)
+    assert pack_items(items, 40) == want and check(items, want, 40)
+
+
+def shingle_sets(texts):
+    for key, text in texts:
+        words = (text or "").lower().split()
+        if words:
+            yield key, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_changed_copies_share_a_class(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = dict(shingle_sets((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()))
+    holders, shared = defaultdict(list), defaultdict(int)
+    for key, runs in sets.items():
+        for run in runs:
+            holders[run].append(key)
+    for keys in holders.values():
+        for i, a in enumerate(keys):
+            for b in keys[i + 1 :]:
+                shared[a, b] += 1
+    near = [(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    cluster = {r["doc_id"]: r["cluster"] for r in packing.sized_documents(documents).collect()}
+    changed = [(a, b) for a, b in near if sets[a] != sets[b]]
+    assert changed and sum(cluster[a] == cluster[b] for a, b in near) / len(near) >= 0.9 and sum(cluster[a] == cluster[b] for a, b in changed) / len(changed) >= 0.9
+    members = defaultdict(list)
+    for key in sets:
+        members[cluster[key]].append(key)
+    # classes are no larger than what is alike: each member is near another one
+    loose = [a for group in members.values() if len(group) > 1 for a in group if all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.5 for b in group if b != a)]
+    assert len(loose) <= 0.02 * len(sets)
+
+
+def test_changed_copies_of_odd_texts(spark):
+    long = " ".join(f"word{i % 97} and{i}" for i in range(3000))
+    rows = [(1, long), (2, long.replace("and17 ", "or17 ")), (3, "one two"), (4, "One  TWO"), (5, ""), (6, None), (7, " \n "), (8, "three words here"), (9, long + " end"), (10, "一二三")]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, source string, cluster int")
+    got = {r["doc_id"]: r for r in packing.sized_documents(df).collect()}
+    assert set(got) == set(range(1, 11)) and got[1]["cluster"] == got[2]["cluster"] == got[9]["cluster"] and got[3]["cluster"] == got[4]["cluster"]
+    assert len({got[i]["cluster"] for i in (1, 3, 8, 10)}) == 4 and got[5]["cluster"] is got[6]["cluster"] is None and got[5]["n_tokens"] == got[6]["n_tokens"] == 0
+    assert packing.sized_documents(df.limit(0)).count() == 0
