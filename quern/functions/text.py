@@ -119,6 +119,11 @@ def mask_secrets(text: Column) -> Column:
     return text
 
 
+def shown_location(path: Column) -> Column:
+    """A location as a report may show it: masked like every text that leaves."""
+    return mask_secrets(path)
+
+
 def mask_project_key(key: Column) -> Column:
     """The home part of a path or of a hyphenated project key masked."""
     return F.regexp_replace(F.regexp_replace(key, r"^-(?:home|Users)-[^-/]+", "-[REDACTED:home_path]"), r"(?:/home|/Users)/[^/]+", "[REDACTED:home_path]")

@@ -83,6 +83,27 @@ def read_text(path: str) -> str | None:
         return None
 
 
+#: Why a file could not be read.
+READ_FAULTS = ((PermissionError, "permission-denied"), (FileNotFoundError, "not-found"))
+
+
+def read_fault(error: OSError) -> str:
+    """J9."""
+    return next((name for kind, name in READ_FAULTS if isinstance(error, kind)), "io-error")
+
+
+def unreadable(paths: list[str]) -> list[tuple[str, str]]:
+    """Paths that cannot be read, each with its fault."""
+    found = []
+    for path in paths:
+        try:
+            with open(path, "rb"):
+                pass
+        except OSError as error:
+            found.append((path, read_fault(error)))
+    return found
+
+
 def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".md", ".py", ".sh", ".txt")) -> DataFrame:
     """Files of a tree as ``path, content``; bytes that are no UTF-8 are replaced, skipped directories stay out."""
     files = [str(p) for p in sorted(Path(root).rglob("*")) if p.is_file() and not p.is_symlink() and p.suffix in suffixes and not SKIPPED_DIRS & set(p.relative_to(root).parts[:-1])]
