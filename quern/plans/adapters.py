@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quern.functions import text as tx
 from quern.functions.instants import ABBREVIATIONS
 from quern.operators import adapters as op
+from quern.plans.friction import _CAPS, AFTER_EVENTS, SCORED
 
 QUERIES = {n: getattr(op, n) for n in ("a09_stored_sessions", "b09_session_events", "b13_part_events", "b15_rollout_sessions", "b18_rollout_events", "c09_log_friction", "c21_secret_kinds")}
 
@@ -20,11 +22,8 @@ def _readable(text: str) -> str:
     )
 
 
-_EVENT = "struct_pack(kind := '{}', role := {}, skill := {}, route := {}, tool := {})"
-
-
-def _event(kind, role="null::varchar", skill="null::varchar", route="null::varchar", tool="null::varchar"):
-    return _EVENT.format(kind, role, skill, route, tool)
+def _event(kind, role="null::varchar", skill="null::varchar", route="null::varchar", tool="null::varchar", text="null::varchar"):
+    return f"struct_pack(kind := '{kind}', role := {role}, skill := {skill}, route := {route}, tool := {tool}, body := {text})"
 
 
 def _when(condition: str, event: str) -> str:
@@ -38,7 +37,7 @@ def _string(v: str) -> str:
 #: Blocks of a body written as a list, as a list of JSON objects.
 _BLOCKS = "case when json_type(body) = 'ARRAY' then list_filter(body::json[], lambda b: json_type(b) = 'OBJECT') else [] end"
 _SLASH = "nullif(regexp_extract(said, '/([a-z][a-z0-9-]*):([a-z][a-z0-9-]*)', 2), '')"
-_SAID = f"list_concat({_when('said is not null', _event('text'))}, {_when(_SLASH + ' is not null', _event('fire', skill=_SLASH, route=repr('text')))})"
+_SAID = f"list_concat({_when('said is not null', _event('text', text='said'))}, {_when(_SLASH + ' is not null', _event('fire', skill=_SLASH, route=repr('text')))})"
 _FITTED = "nullif(coalesce(nullif(regexp_extract(s, '^([a-z][a-z0-9-]*):([a-z][a-z0-9-]*)$', 2), ''), s), '')"
 
 
@@ -95,11 +94,18 @@ m as (select session_id as sid, id as message, time_created, case {_ROLE} when '
   from {_decoded("oc_message")} x left join g on g.message_id = x.id where time_created is not null),
 m1 as (select *, case when role0 in ('user', 'assistant') then role0 end as role, list_filter(list_transform(parts, lambda x: x.said), lambda x: x is not null) as texts from m),
 m2 as (select *, case when role = 'user' and len(texts) > 0 then array_to_string(texts, chr(10)) end as said from m1),
-e as (select sid, message, list_concat({_when("role is not null and len(list_filter(parts, lambda x: coalesce(x.is_text, false))) > 0", _event("turn", role="role"))}, {_SAID},
+e as (select sid, message, time_created, list_concat({_when("role is not null and len(list_filter(parts, lambda x: coalesce(x.is_text, false))) > 0", _event("turn", role="role"))}, {_SAID},
   flatten(list_transform(parts, lambda x: list_concat({_when("x.skill is not null", _event("fire", skill="x.skill", route="'structural'"))}, {_when("x.failure is not null", _event("error", tool="x.failure"))})))) as events from m2),
-part_events as (select sid, message, unnest(generate_series(0, len(events) - 1))::int as sub, unnest(events) as ev from e where len(events) > 0)
+part_events as (select sid, message, time_created, unnest(generate_series(0, len(events) - 1))::int as sub, unnest(events) as ev from e where len(events) > 0)
 """
 _FLAT = "ev.kind as kind, ev.role as role, ev.skill as skill, ev.route as route, ev.tool as tool"
+#: Events of all three stores in one form; a message stands at its time and id.
+_ALL = (
+    f"ev as (select 'claude' as store, sid, pos::bigint as ts, '' as event_id, sub, {_FLAT}, ev.body as body from ({_SESSION} select * from session_events) union all "
+    f"select 'codex', sid, pos::bigint, '', sub, {_FLAT}, ev.body from ({_ROLLOUT} select * from rollout_events) union all "
+    f"select 'opencode', sid, time_created, message, sub, {_FLAT}, ev.body from ({_PARTS} select * from part_events)), "
+)
+_KINDS = ", ".join(f"""case when regexp_matches(body, '{p.replace("'", "''")}') then '{k}' end""" for k, p in tx.SECRETS)
 ORACLES = {
     "a09_stored_sessions": "select 'opencode' as store, id as sid, id as session_id, regexp_replace(directory, '[^A-Za-z0-9-]', '-', 'g') as project, false as superset from oc_session where id is not null and directory is not null",
     "b15_rollout_sessions": """
@@ -111,4 +117,6 @@ select 'codex' as store, log_file as sid, coalesce(id, regexp_replace(regexp_ext
     "b09_session_events": _SESSION + f"select sid, pos, sub, {_FLAT} from session_events",
     "b13_part_events": _PARTS + f"select sid, message, sub, {_FLAT} from part_events",
     "b18_rollout_events": _ROLLOUT + f"select sid, pos, sub, {_FLAT} from rollout_events",
+    "c09_log_friction": _CAPS + _ALL + AFTER_EVENTS + SCORED,
+    "c21_secret_kinds": _CAPS + _ALL.rstrip(", ") + f" select secret, store, count(*) as utterances from (select store, unnest(list_filter([{_KINDS}], lambda x: x is not null)) as secret from ev where kind = 'text') group by all",
 }

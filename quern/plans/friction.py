@@ -6,9 +6,8 @@ from quern.operators import friction as op
 
 QUERIES = {name: getattr(op, name) for name in ("c02_sessions", "c03_firings", "c04_session_skills", "c07_corrections", "c09_skill_friction", "c10_totals", "c18_store_report", "c26_harvest", "c27_session_shapes")}
 
-_CTE = """
-with caps(store, structural, abandonment_signal) as (values ('claude', true, false), ('opencode', true, false), ('codex', false, true)),
-raw as (
+_CAPS = "with caps(store, structural, abandonment_signal) as (values ('claude', true, false), ('opencode', true, false), ('codex', false, true)), "
+_CLICKS = """raw as (
   select case user_id % 3 when 0 then 'claude' when 1 then 'opencode' else 'codex' end as store,
          user_id || '/' || strftime(date_trunc('week', ts), '%Y-%m-%d') as sid, ts, event_id, event_type,
          cast(json_extract_string(props, '$.k') as int) as k from events),
@@ -19,6 +18,9 @@ ev as (
          case when event_type in ('signup', 'purchase') then 'skill_' || (k % 5) end as skill from raw
   union all select store, sid, ts, event_id, 1, 'text', null, null from raw where event_type = 'click'
   union all select store, sid, ts, event_id, 1, 'abandoned', null, null from raw where event_type = 'error' and store = 'codex' and k % 10 = 0),
+"""
+#: What follows from events ``ev``: store, sid, ts, event_id, sub, kind, route, skill.
+AFTER_EVENTS = """
 t as (select *, coalesce(sum((kind = 'turn')::int) over (partition by store, sid order by ts, event_id, sub rows unbounded preceding), 0)::bigint as turn_no from ev),
 p as (select *,
   last_value(case when kind = 'fire' then skill end ignore nulls) over w as ls,
@@ -45,18 +47,19 @@ fr as (select skill, count(distinct sk.store || '|' || sk.sid) as sessions, sum(
   (select coalesce(string_agg(s, ',' order by s), '') from (select unnest(list_distinct(list(sk.store) filter (not abandonment_signal))) as s)) as inferred_stores
   from sk join se on sk.store = se.store and sk.sid = se.sid join caps on caps.store = sk.store group by skill)
 """
+_CTE = _CAPS + _CLICKS + AFTER_EVENTS
+SCORED = """select *, case when score < 1 then 'Excellent' when score < 2 then 'Good' when score < 3 then 'Acceptable' when score < 5 then 'Needs Attention' when score < 7 then 'Problematic' else 'Critical' end as band,
+  case greatest(case when invocations <= 2 then 0 when invocations <= 9 then 1 else 2 end - downgraded::int, 0) when 0 then 'Low' when 1 then 'Medium' else 'High' end as confidence,
+  case when score <= 2 then 'none' when score < 6 then 'Small' else 'Large' end as recommendation
+  from (select *, round(least(10.0::double, 3 * retries / invocations::double + 2 * least(1.0::double, corrections / (5 * invocations::double)) + 3 * abandoned / invocations::double
+    + 2 * least(1.0::double, tool_errors::double / greatest(turns, 1))), 6) as score from fr)"""
 
 ORACLES = {
     "c02_sessions": _CTE + "select * from se",
     "c03_firings": _CTE + "select store, sid, event_id, skill, route, turn_no, near, folded, grp from f where kind = 'fire'",
     "c04_session_skills": _CTE + "select * from sk",
     "c07_corrections": _CTE + "select store, sid, grp, skill, route, retry, said, corrections, folded from g",
-    "c09_skill_friction": _CTE
-    + """select *, case when score < 1 then 'Excellent' when score < 2 then 'Good' when score < 3 then 'Acceptable' when score < 5 then 'Needs Attention' when score < 7 then 'Problematic' else 'Critical' end as band,
-  case greatest(case when invocations <= 2 then 0 when invocations <= 9 then 1 else 2 end - downgraded::int, 0) when 0 then 'Low' when 1 then 'Medium' else 'High' end as confidence,
-  case when score <= 2 then 'none' when score < 6 then 'Small' else 'Large' end as recommendation
-  from (select *, round(least(10.0::double, 3 * retries / invocations::double + 2 * least(1.0::double, corrections / (5 * invocations::double)) + 3 * abandoned / invocations::double
-    + 2 * least(1.0::double, tool_errors::double / greatest(turns, 1))), 6) as score from fr)""",
+    "c09_skill_friction": _CTE + SCORED,
     "c10_totals": _CTE + "select * from (select count(*) as sessions, sum(turns)::bigint as turns, sum(tool_errors)::bigint as tool_errors, count(*) filter (abandoned) as abandoned from se), (select sum(invocations)::bigint as invocations, count(distinct skill) as skills from sk)",
     "c18_store_report": _CTE
     + "select c.*, coalesce(sessions, 0) as sessions, coalesce(turns, 0) as turns from (values ('claude', true, true, false, false), ('opencode', true, true, false, false), ('codex', true, false, true, true)) c(store, text, structural, abandonment_signal, error_detection_partial) left join (select store, count(*) as sessions, sum(turns)::bigint as turns from se group by 1) using (store)",
