@@ -43,14 +43,15 @@ def confusion(cases: DataFrame) -> DataFrame:
 
 
 def label_metrics(cells: DataFrame, labels=LABELS) -> DataFrame:
-    """D3: per label tp, fn, fp, precision, recall; undefined where nothing is counted. A wrong gold outside the labels is a false positive too."""
-    rows = cells.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    joined = rows.join(F.broadcast(cells), (F.col("label") == F.col("gold")) | (F.col("label") == F.col("j1")), "left")  # labels x labels cells
-    df = joined.groupBy("label").agg(
-        F.coalesce(F.sum(F.when((F.col("gold") == F.col("label")) & (F.col("j1") == F.col("label")), F.col("n"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when((F.col("gold") == F.col("label")) & (F.col("j1") != F.col("label")), F.col("n"))), F.lit(0)).alias("fn"),
-        F.coalesce(F.sum(F.when((F.col("gold") != F.col("label")) & (F.col("j1") == F.col("label")), F.col("n"))), F.lit(0)).alias("fp"),
-    )
+    """D3: per label tp, fn, fp, precision, recall; undefined where nothing is counted. A wrong gold outside the labels is a false positive too.
+
+    A cell counts for the two labels it names, so cells are spread to labels and not joined to them.
+    """
+    rows = cells.sparkSession.createDataFrame([(x, 0) for x in labels], "label string, zero bigint")
+    same = F.col("gold") == F.col("j1")
+    sides = F.when(same, F.array(F.struct(F.col("gold").alias("label"), F.lit("tp").alias("side")))).otherwise(F.array(F.struct(F.col("gold").alias("label"), F.lit("fn").alias("side")), F.struct(F.col("j1").alias("label"), F.lit("fp").alias("side"))))
+    counted = cells.select("n", F.inline(sides)).where(F.col("label").isin(*labels)).groupBy("label").agg(*(F.sum(F.when(F.col("side") == s, F.col("n"))).alias(s) for s in ("tp", "fn", "fp")))
+    df = rows.join(counted, "label", "left").select("label", *(F.coalesce(s, "zero").alias(s) for s in ("tp", "fn", "fp")))
     ratio = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(a) + F.col(b), F.lit(0)).cast("double")), 6)
     return df.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
 
@@ -85,10 +86,22 @@ def collisions(descriptions: DataFrame, top_n: int | None = None, least: float =
     """Pairs of descriptions by overlap of tokens.
 
     Only pairs that share a token are formed: overlap is counted by an equality join on tokens
-    and two sizes, so no pair of unrelated descriptions is ever made (such pairs score zero).
+    and two sizes, so no pair of unrelated descriptions is ever made (such pairs score zero). With ``least``
+    above zero only pairs are formed that share one of the rarest tokens that a pair with so much overlap must share, and whose sizes allow it;
+    without it every pair that shares a token is wanted, and made.
     """
     tokens = descriptions.select("name", tx.lexical_tokens(F.col("description")).alias("tokens")).withColumn("size", F.size("tokens"))
     each = tokens.select("name", "size", F.explode("tokens").alias("token"))
+    if least > 0:
+        rarity = each.groupBy("token").agg(F.count("*").alias("df"))
+        ranked = each.join(rarity, "token").withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("df", "token")))
+        head = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("name", "size", "token")
+        a, b = head.select(F.col("name").alias("a"), F.col("size").alias("na"), "token"), head.select(F.col("name").alias("b"), F.col("size").alias("nb"), "token")
+        met = a.join(b, "token").where("a < b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b").distinct()
+        held = lambda side: tokens.select(F.col("name").alias(side), F.col("tokens").alias("t" + side))
+        shared = met.join(held("a"), "a").join(held("b"), "b").withColumn("both", F.array_intersect("ta", "tb"))
+        scored = shared.select("a", "b", F.round(F.size("both") / (F.size("ta") + F.size("tb") - F.size("both")), 6).alias("jaccard"), F.array_join(F.array_sort("both"), " ").alias("shared")).where(F.col("jaccard") >= least)
+        return scored if top_n is None else scored.orderBy(F.desc("jaccard"), "a", "b").limit(top_n)
     a, b = each.select(F.col("name").alias("a"), F.col("size").alias("na"), "token"), each.select(F.col("name").alias("b"), F.col("size").alias("nb"), "token")
     shared = a.join(b, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("shared"))
     scored = shared.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"), "shared").where(F.col("jaccard") >= least)
@@ -151,12 +164,19 @@ def d14_holdout(spark, sf_dir):
     return holdout_sizes(188, 47, spark)
 
 
+def distinct_descriptions(documents: DataFrame) -> DataFrame:
+    """Descriptions of skill documents, equal ones once: by the first document that has it, and how many have."""
+    rows = documents.where("doc_kind = 'skill_doc' and text is not null").select("doc_id", tx.description_of(F.col("text")).alias("description")).where("description <> ''")
+    return rows.groupBy("description").agg(F.min("doc_id").alias("name"), F.count("*").alias("copies"))
+
+
 def d15_near_copies(spark, sf_dir):
-    """Pairs of colliding descriptions that are near copies."""
-    d = descriptions_of(table(spark, sf_dir, "documents"))
+    """Pairs of different descriptions that are near copies, by the first document of each, with the copies of both."""
+    d = distinct_descriptions(table(spark, sf_dir, "documents"))
     pairs = collisions(d, least=0.3).select("a", "b")
-    both = pairs.join(d.select(F.col("name").alias("a"), F.col("description").alias("da")), "a").join(d.select(F.col("name").alias("b"), F.col("description").alias("db")), "b")
-    return near_copies(both, "da", "db").select("a", "b", "distance")
+    side = lambda s: d.select(F.col("name").alias(s), F.col("description").alias("d" + s), F.col("copies").alias("copies_" + s))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return near_copies(both, "da", "db").select("a", "b", "copies_a", "copies_b", "distance")
 
 
 def d16_high_entropy(spark, sf_dir):

@@ -44,7 +44,14 @@ ORACLES = {
     "d06_jaccard_pairs": _D + "select a, b, jaccard, array_to_string(sh, ' ') as shared from scored",
     "d07_tokens": _D + "select name, array_to_string(tokens, ' ') as tokens from toks",
     "d14_holdout": "select * from (select h as holdout, ceil(h * 0.25)::bigint as least_none, least(h, 47 - ceil((188 - h) * 0.25))::bigint as most_none, round(abs(h / 188::double - 0.2), 6) as distance from range(1, 188) t(h)) where least_none <= most_none",
-    "d15_near_copies": _D + "select a, b, distance from (select a, b, round(levenshtein(da, db) / nullif(greatest(length(da), length(db)), 0)::double, 6) as distance from scored where jaccard >= 0.3) where distance < 0.3",
+    "d15_near_copies": f"""
+with dd as (select description, min(doc_id) as name, count(*) as copies from (select doc_id, trim(regexp_extract(regexp_extract(text, '(?s)\\A---\\s*\\n(.*?)\\n---\\s*\\n', 1), '(?m)^description:(.*)$', 1)) as description from documents where doc_kind = 'skill_doc' and text is not null) where description <> '' group by 1),
+tk as (select *, {_TOKENS} as tokens from dd),
+pr as (select a.name as a, b.name as b, a.copies as copies_a, b.copies as copies_b, a.description as da, b.description as db, len(list_intersect(a.tokens, b.tokens)) as n, len(a.tokens) + len(b.tokens) as m from tk a join tk b on a.name < b.name),
+al as (select *, list_distinct(string_split(da || db, '')) as alphabet from pr where n > 0 and round(n / (m - n)::double, 6) >= 0.3),
+-- the distance of DuckDB counts bytes: the letters of a pair are numbered first
+nu as (select *, array_to_string(list_transform(string_split(da, ''), lambda c: chr(32 + list_position(alphabet, c)::int)), '') as ca, array_to_string(list_transform(string_split(db, ''), lambda c: chr(32 + list_position(alphabet, c)::int)), '') as cb from al)
+select a, b, copies_a, copies_b, distance from (select *, round(levenshtein(ca, cb) / nullif(greatest(length(da), length(db)), 0)::double, 6) as distance from nu) where distance < 0.3""",
     "d16_high_entropy": "select row_id from session_one where len(list_filter(regexp_extract_all(message.content, '[A-Za-z0-9+/=_-]{20,}', 0), lambda r: regexp_matches(r, '[0-9]') and regexp_matches(r, '[A-Z]') and regexp_matches(r, '[a-z]'))) > 0",
     "d17_series_guard": "select user_id, iteration, precision, step, coalesce(step < 0.01 and lag(step) over (partition by user_id order by iteration) < 0.01, false) as stop, coalesce(step < -0.05, false) as revert from (select *, round(precision - lag(precision) over (partition by user_id order by iteration), 6) as step from (select user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') as iteration, round(avg((event_type <> 'error')::int), 6) as precision from events group by all))",
     "g02_settled_steps": _G + "select series, iteration, steps, precision, settled, growth, has_friction from s",
