@@ -12,8 +12,17 @@ _BULLET = re.compile(r"(?:[-*+>]|\d+[.)])\s+(?:\[.\]\s*)?")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[a-z][a-z'’-]*")
 _OTHER_LETTER = re.compile(r"[^\W\d_a-zA-Z]")
-#: Function words that English sentences do not have.
-FOREIGN_WORDS = frozenset("der das wenn ist und nicht ein eine la el los las cuando un una para le les des".split())
+#: Function words of English, and of German, Spanish, French, Italian, Portuguese and Dutch without those that are English words too.
+ENGLISH_WORDS = frozenset(
+    "the of and to in is that it for as with on at by this be are was were from or an not you can if when then every each but so we he she they his her its their our your my has have had will would should must may do does did no nor than into over "
+    "there here who which what how all any some only because while until unless before after".split()
+)
+FOREIGN_WORDS = frozenset(
+    "der das den dem des ein eine einen einer eines und oder nicht ist sind war wenn dann aber auch auf aus bei mit nach von vom zu zum zur wird werden werden sich sie ihr wir ihre kann jede jeder jedes nur noch wie als "
+    "el la los las un una unos unas y o pero que cuando como para por con sin del al es son fue esta este esto está están hay su sus cada si se lo le les más muy ya "
+    "une et ou mais où qui dont est sont était ce cette ces il elle nous vous ils leur pas plus dans sur avec sans pour par au aux du il lo gli uno di da per è sono nel della che non "
+    "os uma e em não é são com de het een en van niet dat dit zijn voor".split()
+) - ENGLISH_WORDS
 
 
 def prose_of(text: str) -> str:
@@ -48,16 +57,28 @@ def prose_of(text: str) -> str:
     return text
 
 
+def is_english(words: list[str], otherwise: bool) -> bool:
+    """Whether a sentence's function words are more English than foreign; ``otherwise`` where they do not say."""
+    own, foreign = sum(w in ENGLISH_WORDS for w in words), sum(w in FOREIGN_WORDS for w in words)
+    return own > foreign if own != foreign else otherwise
+
+
 def english_words(text: str) -> list[str]:
-    """Words of the English sentences of the prose, in lower case."""
+    """Words of the English sentences of the prose, in lower case.
+
+    A sentence with letters beyond ASCII is not counted as English; one whose function words do not tell goes with the one before it.
+    """
     text = prose_of(text).lower()
     words = _WORD.findall(text)
     if FOREIGN_WORDS.isdisjoint(words) and (text.isascii() or not _OTHER_LETTER.search(text)):
         return words
-    words = []
+    words, english = [], True
     for sentence in _SENTENCE.split(text):
-        if sentence.isascii() or not _OTHER_LETTER.search(sentence):
-            found = _WORD.findall(sentence)
-            if FOREIGN_WORDS.isdisjoint(found):
-                words += found
+        if not sentence.isascii() and _OTHER_LETTER.search(sentence):
+            english = False
+            continue
+        found = _WORD.findall(sentence)
+        english = is_english(found, english)
+        if english:
+            words += found
     return words

@@ -43,6 +43,23 @@ def test_joins_give_the_same(spark, tables):
     assert a == b and len(a) > 100
 
 
+@pytest.mark.parametrize("max_words", [1000, 300_000])
+def test_known_levels_stay(spark, tables, max_words):
+    documents, graded = tables
+    documents = documents.where("doc_id < 300")
+    odd = graded.selectExpr("doc_id", "5 - level as level")  # as far from what the words say as can be
+    mixed = graded.where("doc_id % 5 > 0").unionByName(odd.where("doc_id % 5 = 0"))
+    got = {r["doc_id"]: (r["difficulty"], r["level"]) for r in reading_levels(documents, mixed, 3, max_words=max_words).collect()}
+    known = {r["doc_id"]: r["level"] for r in mixed.collect() if r["doc_id"] in got}
+    assert known and all(got[k] == (level, level) for k, level in known.items())
+
+
+def test_language_of_a_sentence():
+    assert english_words("The el dorado plan is on the un list.") == "the el dorado plan is on the un list".split()
+    assert english_words("Cuando la tarea termina, el informe se guarda. When it ends, keep it. Fertig und gut.") == "when it ends keep it".split()
+    assert english_words("Run tests. La prueba es un ejemplo. Wait. The end is near.") == "run tests the end is near".split()
+
+
 def test_only_documents_with_prose(spark, sf_dir):
     con = duckdb.connect()
     texts = dict(con.execute(f"select doc_id, text from read_parquet('{sf_dir}/documents.parquet')").fetchall())
