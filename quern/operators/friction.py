@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import table
+from quern.session import cut_lineage, table
 
 #: How many turns apart two detections still count as one or as a retry.
 NEAR_TURNS = 3
@@ -38,9 +38,17 @@ def declared_capabilities(caps: list[tuple]) -> dict[str, tuple]:
 
 
 def split_sessions(events: DataFrame) -> DataFrame:
-    """Number the sessions of a stream by the identities seen so far; 0 before the first."""
-    w = Window.partitionBy("store").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("session_seq", F.sum((F.col("kind") == "identity").cast("bigint")).over(w))
+    """Number the sessions of a stream by the identities seen so far; 0 before the first.
+
+    A stream is one of three stores, so it is cut into ranges of its order: each counts alone and begins with what the
+    ranges before it hold.
+    """
+    ranged = cut_lineage(events.repartitionByRange("store", "seq").withColumn("stretch", F.spark_partition_id()))
+    opens = F.sum((F.col("kind") == "identity").cast("bigint"))
+    before = Window.partitionBy("store").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy("store", "stretch").agg(opens.alias("n")).select("store", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    here = Window.partitionBy("store", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("session_seq", opens.over(here)).join(F.broadcast(held), ["store", "stretch"]).withColumn("session_seq", F.col("session_seq") + F.col("before")).drop("stretch", "before")  # a row per store and range
 
 
 def events_from_clicks(events: DataFrame) -> DataFrame:
@@ -181,6 +189,13 @@ def _parts(spark, sf_dir):
     return events, caps
 
 
+def c01_split(spark, sf_dir):
+    """Clicks of a store as a stream in order of time, a signup opening a session."""
+    events, _ = _parts(spark, sf_dir)
+    stream = events.select("store", "seq", "event_id", "sub", F.when((F.col("kind") == "fire") & (F.col("route") == "text"), "identity").otherwise(F.col("kind")).alias("kind"))
+    return split_sessions(stream).select("store", "event_id", "sub", "session_seq")
+
+
 def c03_firings(spark, sf_dir):
     events, _ = _parts(spark, sf_dir)
     return mark_firings(events).where("kind = 'fire'").select("store", "sid", "event_id", "skill", "route", "turn_no", "near", "folded", "grp")

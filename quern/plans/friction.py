@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quern.operators import friction as op
 
-QUERIES = {name: getattr(op, name) for name in ("c02_sessions", "c03_firings", "c04_session_skills", "c07_corrections", "c09_skill_friction", "c10_totals", "c18_store_report", "c26_harvest", "c27_session_shapes")}
+QUERIES = {name: getattr(op, name) for name in ("c01_split", "c02_sessions", "c03_firings", "c04_session_skills", "c07_corrections", "c09_skill_friction", "c10_totals", "c18_store_report", "c26_harvest", "c27_session_shapes")}
 
 _CAPS = "with caps(store, structural, abandonment_signal) as (values ('claude', true, false), ('opencode', true, false), ('codex', false, true)), "
 _CLICKS = """raw as (
@@ -55,6 +55,7 @@ SCORED = """select *, case when score < 1 then 'Excellent' when score < 2 then '
     + 2 * least(1.0::double, tool_errors::double / greatest(turns, 1))), 6) as score from fr)"""
 
 ORACLES = {
+    "c01_split": _CTE + "select store, event_id, sub, sum((kind = 'fire' and route = 'text')::int) over (partition by store order by ts, event_id, sub rows unbounded preceding)::bigint as session_seq from ev",
     "c02_sessions": _CTE + "select * from se",
     "c03_firings": _CTE + "select store, sid, event_id, skill, route, turn_no, near, folded, grp from f where kind = 'fire'",
     "c04_session_skills": _CTE + "select * from sk",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -39,12 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session without
-    one (a local test) gets a folder of its own.
+    The folder is the cluster's ``spark.checkpoint.dir``. A session without one gets a folder of its own only
+    if it runs in one process; on a cluster, where executors would each write to their own disk, it is refused. Spark removes what is no longer
+    used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint(eager=True)
 

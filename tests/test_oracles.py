@@ -5,9 +5,10 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from quern.operators import queues
 from quern.plans import adapters, batches, friction, problems, routing, rules, snapshots
 
-ORACLES = {k: v for m in (problems, friction, rules, routing, snapshots, batches, adapters) for k, v in m.ORACLES.items()}
+ORACLES = {k: v for m in (problems, friction, rules, routing, snapshots, batches, adapters, queues) for k, v in m.ORACLES.items()}
 
 
 def plain(value):
