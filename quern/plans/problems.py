@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from quern.functions.instants import ABBREVIATIONS, FORMS, MONTHS, OWN_ISO
 from quern.operators import drift, instants, nested, orphans
 
 QUERIES = {
@@ -77,7 +80,44 @@ tree as (select tbl, row_id, path, path as schema_path, '0' as label, null::varc
 node as (select *, case t when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)
 """
 _COLUMNS = "select row_id, label, owner as parent_label, path, {fields} from node "
+
+
+def _form(name: str) -> tuple[str, list[str]]:
+    """A form's pattern without names of groups, and their names in order."""
+    body = FORMS[name].format(k="")
+    return "^" + re.sub(r"\?<\w>", "", body) + "$", re.findall(r"\(\?<(\w)>", body)
+
+
+def _part(part: str) -> str:
+    return "case form " + " ".join(f"when '{f}' then regexp_extract(t, '{_form(f)[0]}', {_form(f)[1].index(part) + 1})" for f in FORMS if part in _form(f)[1]) + f" else '' end as p{part}"
+
+
+#: Every time of the three tables: what it says, its readings on the clock of its machine, and which of two fits the line before.
+_TIMES = f"""
+with src as (select 'session_one' as tbl, row_id, log_file, line_no, machine, "timestamp" as text from session_one union all select 'rollout', row_id, log_file, line_no, machine, case when json_valid(payload) then payload::json ->> '$.timestamp' end from rollout where type = 'session_meta'
+  union all select 'oc_message', row_id, null, null, null, time_created::varchar from oc_message),
+formed as (select *, case {" ".join(f"when regexp_matches(t, '{_form(f)[0]}') then '{f}'" for f in FORMS)} end as form from (select *, trim(text) as t from src)),
+parts as (select *, {", ".join(_part(x) for x in "ymdhisfpzn")} from formed),
+whole as (select *, try_cast(py as bigint) as y, case when regexp_matches(pm, '^[A-Za-z]') then case when strpos('{MONTHS}', lower(pm)) % 3 = 1 then (strpos('{MONTHS}', lower(pm)) + 2) // 3 end else try_cast(pm as bigint) end as mo, try_cast(pd as bigint) as d,
+  case when pp = '' then try_cast(ph as bigint) when try_cast(ph as bigint) between 1 and 12 then try_cast(ph as bigint) % 12 + case when lower(pp) = 'p' then 12 else 0 end end as h, try_cast(pi as bigint) as mi, case when ps = '' then 0 else try_cast(ps as bigint) end as sc,
+  case when pf = '' then 0 else rpad(pf, 9, '0')::bigint end as f, try_cast(nullif(pn, '') as bigint) as n, case when length(pn) <= 11 then 1 when length(pn) <= 14 then 1000 when length(pn) <= 17 then 1000000 else 1000000000 end as unit,
+  (case when pz[1] = '-' then -1 else 1 end) * (try_cast(substr(pz, 2, 2) as bigint) * 3600 + coalesce(try_cast(right(replace(substr(pz, 4), ':', ''), 2) as bigint), 0) * 60) as given from parts where form is not null),
+clocked as (select *, case when y >= 1 and mo between 1 and 12 and h between 0 and 23 and mi between 0 and 59 and sc between 0 and 59 and d >= 1 and d <= day(last_day(make_date(y, mo, 1))) then date_diff('day', date '1970-01-01', make_date(y, mo, d)) * 86400 + h * 3600 + mi * 60 + sc end as clock,
+  case when regexp_matches(pz, '^[+-]') then case when abs(given) <= 54000 then given end else (map {{{", ".join(f"'{k}': {v}" for k, v in ABBREVIATIONS.items())}}})[upper(pz)] end as off from whole),
+said as (select *, case when pn <> '' then case when n > 0 then n // unit end when pz <> '' then clock - off end as sec0, case when pn = '' and pz = '' then clock end as loc, case when pn <> '' then case when length(pn) <= 11 then f else (n % unit) * (1000000000 // unit) end else f end as nano from clocked),
+zoned as (select s.*, coalesce(zone_name, 'UTC') as zone from said s left join (select machine, min(zone_name) as zone_name from machine_zone where machine is not null group by 1) z using (machine)),
+ab as (select *, loc - (epoch(timezone(zone, to_timestamp(loc - 86400)))::bigint - (loc - 86400)) as a, loc - (epoch(timezone(zone, to_timestamp(loc + 86400)))::bigint - (loc + 86400)) as b from zoned),
+held as (select * replace (case when epoch(timezone(zone, to_timestamp(a)))::bigint = loc then a end as a, case when epoch(timezone(zone, to_timestamp(b)))::bigint = loc then b end as b) from ab),
+readings as (select tbl, row_id, log_file, line_no, text, nano, coalesce(sec0, case when least(a, b) = greatest(a, b) and tbl <> 'oc_message' then least(a, b) end) as sec, case when least(a, b) <> greatest(a, b) and tbl <> 'oc_message' then least(a, b) end as early, case when least(a, b) <> greatest(a, b) and tbl <> 'oc_message' then greatest(a, b) end as late from held),
+lines as (select tbl, log_file, line_no, unnest(v) from (select tbl, log_file, line_no, arg_min(struct_pack(moment := coalesce(sec, early), early := early, late := late), row_id) as v from readings where (sec is not null or early is not null) and line_no is not null group by all)),
+prior as (select *, lag(moment) over w as was, lag(early is not null) over w as twice from lines window w as (partition by tbl, log_file order by line_no)),
+marked as (select *, sum((was is null or not twice or abs(was - early) > 86400)::int) over (partition by tbl, log_file order by line_no) as run, coalesce(early < was, false) as back from prior where early is not null),
+settled as (select tbl, log_file, line_no, case when bool_or(back) over (partition by tbl, log_file, run order by line_no) then late else early end as fits from marked),
+times as (select r.tbl, r.row_id, (coalesce(sec, fits, r.early) * 1000 + nano // 1000000)::bigint as utc_ms, case when r.tbl = 'oc_message' then length(text) between 12 and 14 else regexp_matches(text, '{OWN_ISO}') end as own_form from readings r left join settled s on r.early is not null and s.tbl = r.tbl and s.log_file = r.log_file and s.line_no = r.line_no)
+"""
 ORACLES: dict[str, str] = {
+    "p3_found": _TIMES + "select tbl, row_id, utc_ms from times where utc_ms is not null and not own_form",
+    "p3_all": _TIMES + "select tbl, row_id, utc_ms, own_form from times where utc_ms is not null",
     "p1_found": _ORPHANS + "select distinct tbl, row_id, field, reason from orph where reason is not null",
     "p1_by_month": _ORPHANS + "select tbl, field, reason, strftime(loaded_at, '%Y-%m') as month, count(*) as n from orph where reason is not null group by all",
     "p2_found": _DRIFT + "select * from changes",
