@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import rules as op
-from quern.session import table
 
 
 _targets = op.audit_targets
