@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import rules as op
+from quern.session import cut_lineage
 
 
 _targets = op.audit_targets
@@ -50,8 +51,8 @@ def k07_ngram_overlap(spark, sf_dir):
 
 
 def over(query):
-    """A pipeline query over the findings of all context rules."""
-    return lambda spark, sf_dir: query(op.all_findings(spark, sf_dir))
+    """A pipeline query over the findings of all context rules, which are made once and written."""
+    return lambda spark, sf_dir: query(cut_lineage(op.all_findings(spark, sf_dir)))
 
 
 def e17_members(spark, sf_dir):

@@ -10,6 +10,7 @@ from quern.functions import text as tx
 from quern.operators import batches as b
 from quern.operators import parsed, records, rules
 from quern.operators import snapshots as sn
+from quern.plans import rules as plans
 
 TARGET = "project string, rel string, path string, skill_name string, kind string, category string, content string"
 
@@ -179,13 +180,14 @@ def test_audit_and_pipeline_see_every_rule(spark, sf_dir):
     queries = entry.queries()
     keys = ("e07_missing_path", "e08_missing_skill", "e09_unsafe", "e10_runtime_tools", "e11_unmentioned_skill", "e17_contradiction", "e18_memory_shape", "e20_memory_path", "e21_memory_secret")
     want = Counter(r["rule"] for k in keys for r in queries[k](spark, sf_dir).select("rule").collect())
-    assert want["CA-C001"] and Counter(r["rule"] for r in queries["e19_run_audit"](spark, sf_dir).select("rule").collect()) == want
-    ids = queries["f10_finding_ids"](spark, sf_dir).select("rule", "place", "fid").collect()
+    found = sn.cut_lineage(queries["e19_run_audit"](spark, sf_dir))
+    assert want["CA-C001"] and Counter(r["rule"] for r in found.select("rule").collect()) == want
+    ids = plans.finding_ids(found).select("rule", "place", "fid").collect()
     assert Counter(r["rule"] for r in ids) == want
-    assert {r["rule"]: r["n"] for r in queries["f13_ranked"](spark, sf_dir).groupBy("rule").agg(F.sum("n").alias("n")).collect()} == want
-    assert sum(r["n"] for r in queries["f14_summary"](spark, sf_dir).where("facet = 'severity'").collect()) == want.total()
+    assert {r["rule"]: r["n"] for r in plans.ranked(found).groupBy("rule").agg(F.sum("n").alias("n")).collect()} == want
+    assert sum(r["n"] for r in rules.summarize(found).where("facet = 'severity'").collect()) == want.total()
     gone = {r["fid"] for r in ids if r["place"].startswith("skills/")}
-    assert Counter(r["rule"] for r in queries["f16_suppression"](spark, sf_dir).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
+    assert Counter(r["rule"] for r in plans.suppression(found).collect()) == Counter(r["rule"] for r in ids if r["fid"] not in gone)
 
 
 def test_closure_has_no_depth_of_its_own(spark):
