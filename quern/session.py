@@ -50,7 +50,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if shared is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return _plausible(df.checkpoint(eager=True))
+
+
+def _plausible(df: DataFrame) -> DataFrame:
+    """``df``, which is read from a checkpoint, without an estimate of its size that is beyond all storage.
+
+    A checkpoint keeps the estimate of the plan that wrote it. That of a join is the product of both sides, so over rounds
+    that each join the last its digits grow as a power of the rounds, until they fill the driver's memory.
+    """
+    session = df.sparkSession
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63:
+        return df
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
 
 
 def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
