@@ -6,6 +6,8 @@ Unicode line end and has no line after a final end; ``newline_lines`` splits at
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ POLARITY_WORDS = "する しない してよい するな こと must not should
 NEGATION = r"(?i)\b(?:must|should|shall|may|can|will)\s+not\b|\b(?:must|should|do|does|did)n['’]t\b|\b(?:ca|sha|wo)n['’]t\b|\bcannot\b|\bnot\s+(?:allowed|permitted)\b"
 PROHIBIT = r"(?i)するな|しない(?:こと)?|禁止|してはならない|べきでない|never\b|don't\b|do not\b|avoid\b"
 ALLOW = r"(?i)してよい|してもよい|許可|するべき|すること(?:$|。)|always\b|must\b|should\b|allowed\b"
+#: Words of which each match of these patterns holds one, and those beyond ASCII.
+POINTERS = ("not", "n't", "never", "avoid", "always", "must", "should", "allowed")
+POINTERS_CJK = ("n’t", "する", "しない", "禁止", "して", "べき", "許可")
 #: Wording that permits skipping a confirmation or destroying something, in order.
 UNSAFE = (
     ("skipped confirmation", r"確認(?:なし|せず|を省略|不要|を飛ば)"),
@@ -81,11 +86,26 @@ def subjects_of(line: Column) -> Column:
     return F.array_sort(F.array_except(words, F.array(*map(F.lit, POLARITY_WORDS))))
 
 
+def without_negations(line: Column) -> Column:
+    return F.regexp_replace(line, NEGATION, " ")
+
+
+def pointing(line: Column, rest: Column) -> Column:
+    """E12 of a line and what is left of it without negations, which differs from it if it has one; each pattern is searched once."""
+    ways = ((rest != line) | rest.rlike(PROHIBIT)).cast("int") - rest.rlike(ALLOW).cast("int")
+    return F.element_at(F.array(F.lit("allow"), F.lit(None).cast("string"), F.lit("prohibit")), ways + 2)
+
+
 def polarity_of(line: Column) -> Column:
     """Prohibit or allow; null if a line points both ways or neither. Negations are taken out first."""
-    rest = F.regexp_replace(line, NEGATION, " ")
-    prohibits, allows = line.rlike(NEGATION) | rest.rlike(PROHIBIT), rest.rlike(ALLOW)
-    return F.when(prohibits & ~allows, "prohibit").when(allows & ~prohibits, "allow")
+    return pointing(line, without_negations(line))
+
+
+def may_point(line: Column) -> Column:
+    """Holds one of the words without which no pattern of E12 matches."""
+    low = F.lower(line)
+    has = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    return has(POINTERS) | ((F.length(line) < F.octet_length(line)) & has(POINTERS_CJK))
 
 
 def jaccard(a: Column, b: Column) -> Column:

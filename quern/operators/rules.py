@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.functions import text as tx
-from quern.session import cut_lineage, evaluated, table
+from quern.functions.overlaps import overlapping
+from quern.session import cut_lineage, evaluated, ship, table
 
 #: Grade of a severity, and the actions a summary counts.
 SEVERITY_RANK = {"BLOCK": 0, "WARN": 1, "INFO": 2}
@@ -21,6 +25,7 @@ ACTIONS = ("AUTO_FIX", "NEEDS_JUDGMENT", "REPORT_ONLY")
 UNKNOWN_RANK = 9
 WITHHELD = "(line withheld)"
 OVERLAP = 0.2
+FEW = 4096  # pairs of a project that are compared by a join
 #: Kinds of file meant for any runtime, and required and known entries of a memory.
 NEUTRAL_KINDS = ("agents_md", "project_md")
 MEMORY_KEYS = ("name", "description")
@@ -162,8 +167,10 @@ def rule_unmentioned_skill(targets: DataFrame, paths: DataFrame) -> DataFrame:
 def claims_of(targets: DataFrame) -> DataFrame:
     """Lines with a polarity and at least one subject."""
     lines = tx.exploded_lines(targets, ["project", "rel", "category"])
-    claims = lines.where(F.col("line").rlike(r"\S")).withColumn("polarity", tx.polarity_of(F.col("line"))).where("polarity is not null")
-    return claims.withColumn("subjects", tx.subjects_of(F.col("line"))).where("size(subjects) > 0")
+    # computed once a line; merged into the filters, the patterns would be searched again for each use
+    rests = evaluated(lines.where(tx.may_point(F.col("line"))), {"rest": tx.without_negations(F.col("line"))})
+    claims = evaluated(rests, {"polarity": tx.pointing(F.col("line"), F.col("rest"))}).drop("rest").where("polarity is not null")
+    return evaluated(claims, {"subjects": tx.subjects_of(F.col("line"))}).where("size(subjects) > 0")
 
 
 def claim_classes(claims: DataFrame) -> DataFrame:
@@ -175,32 +182,53 @@ def claim_classes(claims: DataFrame) -> DataFrame:
 def opposing_claims(classes: DataFrame, overlap: float = OVERLAP, most: int = 1_000_000) -> DataFrame:
     """Pairs of classes of opposite polarity within a project whose subjects overlap by ``overlap``.
 
-    Copies are never paired with each other. Classes meet on a shared subject; what they share is counted,
-    which with both sizes gives the overlap exactly, so no list of subjects is carried along. A subject
-    on which more than ``most`` pairs would meet is split: its prohibitions by number, its permissions sent to each part.
+    Copies are never paired with each other. Both sides of a project are cut into parts, and each part of one meets each
+    of the other in a task of at most ``most`` pairs that counts what they share (``overlaps``), so only classes are
+    shuffled and only pairs that overlap leave a task. Projects of few pairs are compared by a join.
     """
-    each = classes.select("project", "polarity", "cid", F.size("subjects").alias("size"), F.explode("subjects").alias("subject"))
-    of = lambda p: F.count_if(F.col("polarity") == p)
-    both = each.groupBy("project", "subject").agg(of("prohibit").alias("p"), of("allow").alias("q")).where("p > 0 and q > 0")
-    each = each.join(both.select("project", "subject", F.ceil(F.col("p") * F.col("q") / F.lit(most)).cast("int").alias("parts")), ["project", "subject"])
-    a = each.where("polarity = 'prohibit'").select("project", "subject", F.pmod("cid", "parts").cast("int").alias("part"), F.col("cid").alias("a"), F.col("size").alias("na"))
-    b = each.where("polarity = 'allow'").select("project", "subject", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("size").alias("nb"))
-    near = F.least("na", "nb") >= F.lit(overlap) * F.greatest("na", "nb")
-    shared = a.join(b, ["project", "subject", "part"]).where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    pairs = shared.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= overlap)
-    left = classes.where("polarity = 'prohibit'").select(F.col("cid").alias("a"), F.col("first").alias("prohibits"), F.col("members").alias("prohibit_members"))
-    right = classes.where("polarity = 'allow'").select(F.col("cid").alias("b"), F.col("first").alias("allows"), F.col("members").alias("allow_members"))
-    return pairs.join(left, "a").join(right, "b")
+    ship(classes.sparkSession)
+    side = lambda p: F.count_if(F.col("polarity") == p)
+    held = classes.groupBy("project").agg(side("prohibit").alias("p"), side("allow").alias("q")).where("p > 0 and q > 0")
+    both = classes.join(held, "project")
+    a, b = (both.where(F.col("polarity") == p) for p in ("prohibit", "allow"))
+    names = ["similarity", "prohibits", "prohibit_members", "allows", "allow_members"]
+
+    few = F.col("p") * F.col("q") <= min(FEW, most)
+    near = a.where(few).select("project", F.col("subjects").alias("sa"), F.col("first").alias("prohibits"), F.col("members").alias("prohibit_members")).join(
+        b.where(few).select("project", F.col("subjects").alias("sb"), F.col("first").alias("allows"), F.col("members").alias("allow_members")), "project")
+    near = evaluated(near, {"n": F.size(F.array_intersect("sa", "sb"))}).withColumn("similarity", F.col("n") / (F.size("sa") + F.size("sb") - F.col("n")))
+    near = near.where((F.col("n") > 0) & (F.col("similarity") >= overlap)).select(names)
+
+    # as many parts on each side as keep a part within the root of ``most``
+    parts = lambda n: F.ceil(F.col(n) / F.lit(int(most**0.5))).cast("int")
+    own = lambda n: F.array(F.pmod("cid", parts(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), parts(n) - 1)
+    at = lambda rows, i, j: rows.where(~few).select("project", "polarity", "subjects", "first", "members", F.explode(i).alias("i"), j.alias("js")).select("*", F.explode("js").alias("j")).drop("js")
+    tiles = at(a, own("p"), every("q")).unionByName(at(b, every("p"), own("q")))
+
+    def run(tile: pa.Table) -> pa.Table:
+        left, right = (tile.filter(pc.equal(tile["polarity"], p)).combine_chunks() for p in ("prohibit", "allow"))
+        words = lambda side: pa.concat_arrays(side["subjects"].chunks) if side.num_rows else pa.array([], tile.schema.field("subjects").type)
+        i, j, similarity = overlapping(words(left), words(right), overlap)
+        return pa.Table.from_arrays([pa.array(similarity), left["first"].take(i), left["members"].take(i), right["first"].take(j), right["members"].take(j)], names=names)
+
+    first, members = classes.schema["first"].dataType, classes.schema["members"].dataType
+    far = tiles.groupBy("project", "i", "j").applyInArrow(run, StructType([StructField(n, t) for n, t in zip(names, (DoubleType(), first, members, first, members))]))
+    return near.unionByName(far)
 
 
 def _at(first: str):
     return F.concat_ws(":", F.col(first + ".rel"), F.col(first + ".line_no").cast("string"))
 
 
-def rule_contradiction(targets: DataFrame, paths: DataFrame) -> DataFrame:
-    """Each pair of classes once, at its first prohibition, with how many claims stand on both sides."""
-    pairs = opposing_claims(claim_classes(claims_of(targets)))
-    what = F.format_string("against %s (%d prohibit, %d allow)", _at("allows"), "prohibit_members", "allow_members")
+def rule_contradiction(targets: DataFrame, paths: DataFrame, shown: Callable = lambda text: text) -> DataFrame:
+    """Each pair of classes once, at its first prohibition, with how many claims stand on both sides.
+
+    ``shown`` masks the place that a pair is against once a class, not once a pair; no secret reaches beyond that place.
+    """
+    classes = claim_classes(claims_of(targets))
+    pairs = opposing_claims(classes.withColumn("first", F.struct("first.*", shown(_at("first")).alias("shown"))))
+    what = F.format_string("against %s (%d prohibit, %d allow)", "allows.shown", "prohibit_members", "allow_members")
     return pairs.select(*finding("CA-C001", "WARN", "REPORT_ONLY", _at("prohibits"), what))
 
 
