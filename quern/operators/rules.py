@@ -8,6 +8,7 @@ Rules are listed in a registry and joined by union; nothing is collected.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -289,13 +290,13 @@ CONTEXT_RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 
 def run_rules(targets: DataFrame, rules: dict[str, Callable] | None = None) -> DataFrame:
-    """Findings of all rules, masked."""
+    """Findings of all rules, masked (E24); contradictions, which may be most of them, mask each class once."""
     paths = paths_of(targets)
-    found = None
-    for _, rule in sorted((rules or CONTEXT_RULES).items()):
-        rows = rule(targets, paths)
-        found = rows if found is None else found.unionByName(rows)
-    return masked_findings(found)
+    rules = rules or CONTEXT_RULES
+    found = [masked_findings(rule(targets, paths)) for name, rule in sorted(rules.items()) if name != "CA-C001"]
+    if "CA-C001" in rules:
+        found.append(rules["CA-C001"](targets, paths, tx.mask_secrets))
+    return reduce(DataFrame.unionByName, found)
 
 
 def masked_findings(findings: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def test_pairs_are_not_shuffled(spark):
     assert "FlatMapGroupsInArrow" in plan and "Aggregate(keys=[a#" not in plan
 
 
+def test_contradictions_are_masked_by_class(spark):
+    rows = [("p", "home/ann@x.example.md", "a", "instruction", "never push the branch"), ("p", "token=abcdefgh12.md", "a", "instruction", "always push the branch"), ("p", "-----BEGIN A", "a", "instruction", "always push one branch")]
+    targets = spark.createDataFrame([(*r, None, None) for r in rows], "project string, rel string, kind string, category string, content string, path string, skill_name string")
+    plain = rules.masked_findings(rules.rule_contradiction(targets, None))
+    masked = rules.run_rules(targets, {"CA-C001": rules.rule_contradiction})
+    assert sorted(map(tuple, masked.collect())) == sorted(map(tuple, plain.collect())) and masked.where(F.col("what").contains("REDACTED")).count() == 1
+
+
 def test_no_claim_is_passed_over(spark):
     lines = ["You MUST not push", "Mustn’t", "NEVER", "ALWAYS", "Cannot", "is not permitted", "avoid it", "should", "allowed", "禁止", "してよい", "許可", "すること。", "べきでない", "するな", "plain"]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
