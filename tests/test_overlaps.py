@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import overlaps
 from quern.functions import text as tx
 from quern.operators import rules
+from quern.plans import rules as plans
 
 
 def test_shared_words_like_sets(monkeypatch):
@@ -44,6 +45,14 @@ def test_pairs_are_not_shuffled(spark):
     assert "FlatMapGroupsInArrow" in plan and "Aggregate(keys=[a#" not in plan
 
 
+def test_findings_are_not_written(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(plans, "cut_lineage", lambda df: written.append({r["rule"] for r in df.select("rule").distinct().collect()}) or df)
+    for name in ("f10_finding_ids", "f13_ranked", "f14_summary", "f16_suppression"):
+        plans.QUERIES[name](spark, sf_dir)
+    assert len(written) == 1 and "CA-C001" not in written[0]
+
+
 def test_contradictions_are_masked_by_class(spark):
     rows = [("p", "home/ann@x.example.md", "a", "instruction", "never push the branch"), ("p", "token=abcdefgh12.md", "a", "instruction", "always push the branch"), ("p", "-----BEGIN A", "a", "instruction", "always push one branch")]
     targets = spark.createDataFrame([(*r, None, None) for r in rows], "project string, rel string, kind string, category string, content string, path string, skill_name string")
