@@ -1,7 +1,7 @@
 """Rebuilding conversations from message rows (problem 6).
 
-Reply links: every turn gets candidate parents, the ``CANDIDATES`` turns before it in its
-session, across its files, hours and blocks, scored by time gap, mentions and overlap of words; a
+Reply links: candidate parents of a turn are all turns before it in its session, across its files,
+hours and blocks, scored by time gap, distance, mentions and overlap of words; a
 change of speaker speaks for a reply. The likeliest candidate is the parent. Links form trees; a
 conversation is the tree of a root, that is, of a turn without a turn before it, and named by the
 root's session. A turn belongs to it if it is the root or has a parent. Which trees are sound is then checked
@@ -10,8 +10,9 @@ exactly: known speakers, a user at the root, and each turn of the user directly
 Distribution: a session may hold a third of all rows, so nothing is partitioned by session
 alone. Turns are sorted within blocks of a channel: ``BLOCK`` lines, or an hour of messages, and
 a second of an hour with more than ``BLOCK``, or eight leading characters of the id where such messages have no time. A block is summed
-up in one row (turns, speakers at its ends, soundness, last turns). Blocks are put in order within a day of a
-session, days within a session, and each level hands its sums and last turns to the next.
+up in one row (turns, speakers at its ends, soundness). Blocks are put in order within a day of a
+session, days within a session, and each level hands its sums to the next. Candidates are scored in pieces
+of the numbered session, and beyond the nearest only as far back as a likelier one can be.
 
 Defined results: lines without a session take that of their file and are left out if it has
 none; unreadable content is no turn; the words and mentions of a message are those of all its text parts; of copies the smallest ``row_id`` counts; messages
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 from quern.operators.instants import message_instants, with_readings
 from quern.session import cut_lineage, evaluated, table
 
-BLOCK, CANDIDATES, DAY = 4096, 3, 86400
+BLOCK, DAY = 4096, 86400
+#: Sizes that no result depends on: turns scored first, turns of a piece of a session, turns held at once for those that reach further.
+CANDIDATES, PIECE, SPAN = 16, 4096, 64
 #: Spellings of the speakers, without case and space around them.
 USER, ASSISTANT, SYSTEM = ("user", "human"), ("assistant", "ai", "model"), ("system",)
-#: Fitted (softmax over candidates) on constructed sessions of one to three interleaved exchanges; twice as many candidates gained less than a point there.
-WEIGHTS = {"time": 1.0, "nearness": 2.0, "mention": 1.5, "words": 3.2, "speaker": 2.8}
+#: Fitted (softmax over the three turns before) on constructed sessions of one to three interleaved exchanges; the distance by right parents among all turns before, the others as they were.
+WEIGHTS = {"time": 1.0, "nearness": 2.0, "mention": 1.5, "words": 3.2, "speaker": 2.8, "distance": 0.75}
 HALF_LIFE = 300.0
+#: More than rounding moves a score.
+MARGIN = 1e-6
 NOT_BLANK = r"(?U)\S"
 LAST = 2**63 - 1
 
@@ -120,93 +125,116 @@ def message_turns(message: DataFrame, part: DataFrame) -> DataFrame:
 
 
 KEYS = ["tbl", "conv_id", "channel", "block", "part"]
+TURN = ["turn_no", "row_id", "speaker", "sec", "words", "mentions"]
 
 
 def likeliest(candidates: Column) -> Column:
-    """``score, nearness, parent`` of the likeliest of ``candidates``, nearest first; null if there are none."""
+    """``score, turn_no, parent`` of the likeliest of ``candidates``, of equal ones the nearest; null if there are none."""
 
-    def score(c: Column, k: Column) -> Column:
+    def score(c: Column) -> Column:
         gap = F.coalesce(F.abs(F.col("sec") - c["sec"]).cast("double"), F.lit(HALF_LIFE))
         shared = F.size(F.array_intersect("words", c["words"])).cast("double")
         overlap = shared / F.greatest(F.lit(1.0), F.size("words") + F.size(c["words"]) - shared)
+        back = (F.col("turn_no") - c["turn_no"]).cast("double")
         return (
             WEIGHTS["time"] * F.pow(F.lit(0.5), gap / HALF_LIFE)
-            + WEIGHTS["nearness"] / (k + 1)
+            + WEIGHTS["nearness"] / back
+            - WEIGHTS["distance"] * F.ln(back)
             + WEIGHTS["words"] * overlap
             + WEIGHTS["mention"] * F.arrays_overlap("mentions", c["mentions"]).cast("double")
             + WEIGHTS["speaker"] * (F.col("speaker") != c["speaker"]).cast("double")
         )
 
-    return F.array_max(F.transform(candidates, lambda c, k: F.struct(F.round(score(c, k), 9).alias("score"), (-k).alias("nearness"), c["row_id"].alias("parent"))))
+    return F.array_max(F.transform(candidates, lambda c: F.struct(F.round(score(c), 9).alias("score"), c["turn_no"].alias("turn_no"), c["row_id"].alias("parent"))))
 
 
-def reply_links(turns: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
-    """Turns without copies, each with its place in its block, the speaker after it, and its likeliest parent there.
-
-    The first turns of a block have candidates in the blocks before and are not scored yet: ``edge`` holds what
-    that needs; the last turns of a block are candidates of later blocks and are held in ``tail``.
-    """
+def placed(turns: DataFrame) -> DataFrame:
+    """Turns without copies, each with its place in its block and the speaker after it."""
     w = Window.partitionBy(*KEYS).orderBy("pos", "line", "row_id")
     single = turns.withColumn("copy", F.coalesce(F.lag("line").over(w) == F.col("line"), F.lit(False))).where("not copy").drop("copy")
-    here = F.struct("row_id", "speaker", "sec", "words", "mentions")
-    near = F.array_compact(F.array(*(F.lag(here, k).over(w) for k in range(1, candidates + 1))))
-    linked = single.withColumns({"place": F.row_number().over(w), "next_speaker": F.lead("speaker").over(w), "last": F.lead("row_id", candidates).over(w).isNull(), "near": near})
-    linked = linked.withColumn("best", F.when(F.col("place") > candidates, likeliest(F.col("near"))))
-    edge = F.when(F.col("place") <= candidates, F.struct("sec", "words", "mentions", "near"))
-    return linked.select(*KEYS, "pos", "row_id", "speaker", "place", "next_speaker", "best", edge.alias("edge"), F.when(F.col("last"), here).alias("tail"))
-
+    return single.withColumns({"place": F.row_number().over(w), "next_speaker": F.lead("speaker").over(w)})
 
-def _last_turns(tails: Column, blocks: int) -> Column:
-    """The last turns of some blocks in order, nearest first; as every block has a turn, ``CANDIDATES`` blocks hold them all."""
-    return F.slice(F.reverse(F.flatten(tails)), 1, blocks)
 
-
-def blocks_of(links: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per block: first turn number less one, soundness of its conversation, last turns of the blocks before, nearest first."""
+def blocks_of(places: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per block: first turn number less one, soundness of its conversation."""
     sound = (F.col("speaker") != "?") & ((F.col("speaker") != "user") | F.coalesce(F.col("next_speaker") == "assistant", F.lit(True)))
     by_place = lambda f, c: f(c, "place")
-    blocks = links.groupBy(KEYS).agg(
+    blocks = places.groupBy(KEYS).agg(
         F.count("*").alias("n"), F.bool_and(sound).alias("sound"), by_place(F.min_by, "speaker").alias("first_speaker"), by_place(F.max_by, "speaker").alias("last_speaker"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("tail").isNotNull(), F.struct("place", "tail")))), lambda x: x["tail"]).alias("tails"),
     ).join(files, ["tbl", "channel"], "left")
     day = F.when(F.col("tbl") == "session_one", F.expr(f"first.sec div {DAY}")).when(F.col("block") != LAST, F.expr(f"block * 3600 div {DAY}"))
-    order = F.struct(F.col("first").isNull().alias("untimed"), "first", "channel", "block", "part")
-    blocks = blocks.withColumns({"day": F.coalesce(day, F.lit(LAST)), "order": order}).drop("first")
-
-    of_day = Window.partitionBy("tbl", "conv_id", "day").orderBy("order")
-    here = lambda w, start, end: _last_turns(F.collect_list("tails").over(w.rowsBetween(start, end)), CANDIDATES)
-    blocks = blocks.withColumns({"offset": F.coalesce(F.sum("n").over(of_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "following": F.lead("first_speaker").over(of_day), "near": here(of_day, -CANDIDATES, -1), "ends": here(of_day, 1 - CANDIDATES, 0)})
-    # one row per session and day; its last turns come in order again for those of the days after it
-    days = blocks.groupBy("tbl", "conv_id", "day").agg(F.sum("n").alias("n"), F.min_by("first_speaker", "order").alias("first_speaker"), F.reverse(F.max_by("ends", "order")).alias("tails"))
-    in_session = Window.partitionBy("tbl", "conv_id").orderBy("day")
-    days = days.select("tbl", "conv_id", "day", F.coalesce(F.sum("n").over(in_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("day_offset"), F.lead("first_speaker").over(in_session).alias("day_following"), here(in_session, -CANDIDATES, -1).alias("day_near"))
-    blocks = blocks.join(days, ["tbl", "conv_id", "day"]).withColumn("offset", F.col("offset") + F.col("day_offset"))
-    ended = (F.col("last_speaker") != "user") | F.coalesce(F.coalesce("following", "day_following") == "assistant", F.lit(False))
-    begun = (F.col("offset") > 0) | (F.col("first_speaker") == "user")
-    blocks = blocks.select(*KEYS, "day", "offset", F.slice(F.concat("near", "day_near"), 1, CANDIDATES).alias("carried"), (F.col("sound") & ended & begun).alias("good"))
-    kept = blocks.groupBy("tbl", "conv_id", "day").agg(F.min("good").alias("good")).withColumn("kept", F.min("good").over(Window.partitionBy("tbl", "conv_id"))).drop("good")
-    return blocks.drop("good").join(kept, ["tbl", "conv_id", "day"]).select(*KEYS, "offset", "kept", "carried")
-
-
-def conversations(turns: DataFrame, files: DataFrame) -> DataFrame:
-    """Every turn with ``turn_no``, ``parent`` (null at the root of its tree), ``score`` and ``kept``."""
-    links = cut_lineage(reply_links(turns))
-    joined = links.join(cut_lineage(blocks_of(links, files)), KEYS)
-    open_ = joined.withColumns({c: F.col(f"edge.{c}") for c in ("sec", "words", "mentions")})
-    best = F.coalesce("best", likeliest(F.slice(F.concat("edge.near", "carried"), 1, CANDIDATES)))
-    linked = open_.withColumn("best", best)
-    return linked.select("tbl", "conv_id", (F.col("offset") + F.col("place")).cast("bigint").alias("turn_no"), "row_id", "speaker", F.col("best.parent").alias("parent"), F.col("best.score").alias("score"), "kept")
-
-
-def _conversations(spark, sf_dir: str) -> DataFrame:
+    blocks = blocks.withColumns({"day": F.coalesce(day, F.lit(LAST)), "untimed": F.col("first").isNull()})
+    order = ["untimed", "first", "channel", "block", "part"]
+
+    of_day = Window.partitionBy("tbl", "conv_id", "day").orderBy(*order)
+    blocks = blocks.withColumns({"offset": F.coalesce(F.sum("n").over(of_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "following": F.lead("first_speaker").over(of_day)})
+    # the last block of a day is followed by that of a later day, if any
+    answered = F.col("following").isNull() | (F.col("last_speaker") != "user") | (F.col("following") == "assistant")
+    at = F.struct(*order)
+    days = blocks.groupBy("tbl", "conv_id", "day").agg(F.sum("n").alias("n"), F.bool_and(F.col("sound") & answered).alias("good"), F.min_by("first_speaker", at).alias("first_speaker"), F.max_by("last_speaker", at).alias("last_speaker"))
+    of_session = Window.partitionBy("tbl", "conv_id")
+    in_session = of_session.orderBy("day")
+    days = days.withColumns({"day_offset": F.coalesce(F.sum("n").over(in_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "following": F.lead("first_speaker").over(in_session)})
+    ended = (F.col("last_speaker") != "user") | F.coalesce(F.col("following") == "assistant", F.lit(False))
+    begun = (F.col("day_offset") > 0) | (F.col("first_speaker") == "user")
+    days = days.select("tbl", "conv_id", "day", "day_offset", F.min(F.col("good") & ended & begun).over(of_session).alias("kept"))
+    return blocks.select(*KEYS, "day", "offset").join(days, ["tbl", "conv_id", "day"]).select(*KEYS, (F.col("offset") + F.col("day_offset")).alias("offset"), "kept")
+
+
+def reply_links(turns: DataFrame) -> DataFrame:
+    """Numbered turns with ``best``, the likeliest of all turns before in the session; null for the first.
+
+    The ``CANDIDATES`` turns before are scored first, in pieces of a session that bring the end of the piece before. No score can
+    exceed what the turn's own words and mentions allow less the weight of the distance, so beyond ``reach`` turns back none
+    is likelier than the best of these. Most reach no further; the others are scored against every turn within it, ``SPAN`` at a time.
+    """
+    near, size, session = CANDIDATES, max(PIECE, CANDIDATES), ["tbl", "conv_id"]
+    piece = F.expr(f"(turn_no - 1) div {size}")
+    pieces = turns.withColumn("piece", F.explode(F.when((F.col("turn_no") - 1) % size >= size - near, F.array(piece, piece + 1)).otherwise(F.array(piece))))
+    of_piece = Window.partitionBy(*session, "piece")
+    scored = pieces.withColumn("near", F.collect_list(F.struct(*TURN)).over(of_piece.orderBy("turn_no").rowsBetween(-near, -1))).where(F.col("piece") == piece)
+    most = WEIGHTS["time"] + WEIGHTS["speaker"] + WEIGHTS["nearness"] / (near + 1) + F.when(F.size("words") > 0, WEIGHTS["words"]).otherwise(0.0) + F.when(F.size("mentions") > 0, WEIGHTS["mention"]).otherwise(0.0)
+    scored = evaluated(scored, {"best": likeliest(F.col("near"))}).drop("near")
+    reach = F.least(F.floor(F.exp((most - F.col("best.score") + MARGIN) / WEIGHTS["distance"])), F.col("turn_no") - 1)
+    scored = scored.withColumn("reach", F.coalesce(reach, F.lit(0)))
+
+    # turns that reach further meet the turns of the spans they reach; a piece that has another after it is held whole
+    far = F.col("reach") > near
+    low, high = F.when(far, F.col("turn_no") - F.col("reach")), F.when(far, F.col("turn_no") - near - 1)
+    sought = scored.withColumns({"low": low, "high": high}).withColumns({"lowest": F.min("low").over(of_piece), "highest": F.max("high").over(of_piece), "end": F.max("turn_no").over(of_piece)})
+    held = F.col("turn_no").between(F.col("lowest"), F.col("highest")) | (F.col("end") == (F.col("piece") + 1) * size)
+    span = lambda c: F.expr(f"{c} div {SPAN}")
+    sought = sought.withColumn("spans", F.when(far, F.sequence(span("low"), span("high")))).where(held | far)
+    meets = F.concat(F.when(held, F.array(F.struct(span("turn_no").alias("span"), F.lit(False).alias("asks")))).otherwise(F.array()), F.coalesce(F.transform("spans", lambda x: F.struct(x.alias("span"), F.lit(True).alias("asks"))), F.array()))
+    sought = sought.select(*session, *TURN, "kept", "best", "low", "high", F.inline(meets))
+    sought = sought.groupBy(*session, "span").agg(
+        F.collect_list(F.when(F.col("asks"), F.struct(*TURN, "kept", "best", "low", "high"))).alias("asking"), F.collect_list(F.when(~F.col("asks"), F.struct(*TURN))).alias("held")
+    )
+    sought = sought.select(*session, "held", F.inline("asking")).withColumn("found", likeliest(F.filter("held", lambda c: c["turn_no"].between(F.col("low"), F.col("high")))))
+    sought = sought.groupBy(*session, "turn_no").agg(*(F.first(c).alias(c) for c in ("row_id", "speaker", "kept")), F.array_max(F.array(F.first("best"), F.max("found"))).alias("best"))
+    kinds = [*session, "turn_no", "row_id", "speaker", "kept", "best"]
+    return scored.where(~far).select(kinds).unionByName(sought.select(kinds))
+
+
+def conversations(turns: DataFrame, files: DataFrame, sound: bool = False) -> DataFrame:
+    """Every turn, or those of the sound conversations, with ``turn_no``, ``parent`` (null at the root of its tree), ``score`` and ``kept``."""
+    turns = cut_lineage(turns)
+    blocks = blocks_of(placed(turns), files)
+    # joined before they are placed, so that one shuffle by block does for both
+    numbered = placed(turns.join(blocks.where("kept") if sound else blocks, KEYS)).withColumn("turn_no", (F.col("offset") + F.col("place")).cast("bigint"))
+    linked = reply_links(numbered.select("tbl", "conv_id", *TURN, "kept"))
+    return linked.select("tbl", "conv_id", "turn_no", "row_id", "speaker", F.col("best.parent").alias("parent"), F.col("best.score").alias("score"), "kept")
+
+
+def _conversations(spark, sf_dir: str, sound: bool = False) -> DataFrame:
     session, files = session_turns(table(spark, sf_dir, "session_one"), table(spark, sf_dir, "machine_zone"))
-    return conversations(session.unionByName(message_turns(table(spark, sf_dir, "oc_message"), table(spark, sf_dir, "oc_part"))), files)
+    return conversations(session.unionByName(message_turns(table(spark, sf_dir, "oc_message"), table(spark, sf_dir, "oc_part"))), files, sound)
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Turns of the sound conversations: ``tbl, conv_id, turn_no, row_id``."""
     in_tree = F.col("parent").isNotNull() | (F.col("turn_no") == 1)
-    return _conversations(spark, sf_dir).where(F.col("kept") & in_tree).select("tbl", "conv_id", "turn_no", "row_id")
+    return _conversations(spark, sf_dir, sound=True).where(in_tree).select("tbl", "conv_id", "turn_no", "row_id")
 
 
 def p6_links(spark, sf_dir: str) -> DataFrame:

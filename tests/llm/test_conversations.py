@@ -1,7 +1,9 @@
 """Conversations against a brute-force version, whatever the size of a block."""
 
 import json
+import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -143,3 +145,65 @@ def link_accuracy(spark, channels, candidates, monkeypatch):
 def test_links_find_their_channel(spark, monkeypatch):
     figures = {(n, k): link_accuracy(spark, n, k, monkeypatch) for n, k in ((1, c.CANDIDATES), (2, c.CANDIDATES), (3, c.CANDIDATES))}
     assert figures[1, c.CANDIDATES] > 0.88 and figures[2, c.CANDIDATES] > 0.68 and figures[3, c.CANDIDATES] > 0.5, figures
+
+
+SCHEMA = "conv_id string, row_id bigint, speaker string, sec bigint, said string"
+NO_FILES = "tbl string, channel string, first struct<sec:bigint,nano:bigint>"
+
+
+def links_of(spark, rows):
+    """Row -> parent and score, rows of a session in order of ``row_id`` and read from one file."""
+    turns = spark.createDataFrame(rows, SCHEMA).select(
+        F.lit("session_one").alias("tbl"), "conv_id", F.lit("f").alias("channel"), F.expr(f"row_id div {c.BLOCK}").alias("block"), F.lit("").alias("part"), F.col("row_id").alias("pos"), F.col("row_id").cast("string").alias("line"), "row_id", "speaker", "sec",
+        c.words_of(F.col("said")).alias("words"), F.regexp_extract_all("said", F.lit(r"@[\w-]+"), F.lit(0)).alias("mentions"),
+    )
+    return {(r["conv_id"], r["row_id"]): (r["parent"], r["score"]) for r in c.conversations(turns, spark.createDataFrame([], NO_FILES)).collect()}
+
+
+def likeliest_of_all(turns):
+    """Every turn before, scored one by one."""
+    words = lambda said: {w for w in re.split(r"[^\w@]+", said.lower()) if len(w) > 2}
+    told = [(row, who, sec, words(said), set(re.findall(r"@[\w-]+", said))) for _, row, who, sec, said in turns]
+    out = {}
+    for i, (row, who, sec, said, named) in enumerate(told):
+        best = None
+        for j, (parent, other, then, heard, called) in enumerate(told[:i]):
+            time = 0.5 ** (abs(sec - then) / c.HALF_LIFE) if sec is not None and then is not None else 0.5
+            traits = {"time": time, "nearness": 1 / (i - j), "distance": -math.log(i - j), "mention": bool(named & called), "words": len(said & heard) / max(1, len(said | heard)), "speaker": who != other}
+            best = max(filter(None, (best, (round(sum(c.WEIGHTS[k] * v for k, v in traits.items()), 9), j, parent))))
+        out[row] = (best[2], best[0]) if best else (None, None)
+    return out
+
+
+def long_sessions():
+    """Runs of one speaker, words and mentions that come back from far, unordered and missing times."""
+    rng, rows = random.Random(6), []
+    for s in range(4):
+        who, at = "user", 1_700_000_000
+        for i in range(150):
+            who = rng.choice(("user", "assistant")) if rng.random() < (0.5, 0.1, 0.02, 0.5)[s] else who
+            at += rng.choice((1, 5, 400, -300) if s == 3 else (0, 5, 60, 900))
+            said = " ".join(rng.choice(TOPICS).split()[: rng.randrange(9)]) + rng.choice(("", "", "", " @desk", " @five"))
+            rows.append((f"s{s}", 1000 * s + i + 1, who, None if rng.random() < 0.05 else at, said))
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [(16, 4096, 64), (3, 20, 7), (1, 1, 1)])
+def test_parents_are_the_likeliest_of_all_turns(spark, sizes, monkeypatch):
+    for name, size in zip(("CANDIDATES", "PIECE", "SPAN"), sizes):
+        monkeypatch.setattr(c, name, size)
+    rows = long_sessions()
+    want = {}
+    for s in range(4):
+        want |= {(f"s{s}", k): v for k, v in likeliest_of_all([r for r in rows if r[0] == f"s{s}"]).items()}
+    got = links_of(spark, rows)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(v[1] == pytest.approx(want[k][1], abs=1e-8) for k, v in got.items() if v[1] is not None)
+    back = [k[1] - v[0] for k, v in got.items() if v[0] is not None]
+    assert max(back) > 16 and sum(b > 3 for b in back) > 20
+
+
+def test_parent_from_far_back(spark):
+    said = ["which colour has the third @desk legend", *(f"step{i} runs" for i in range(40)), "the third @desk legend has which colour"]
+    rows = [("s", i + 1, "user" if i == 0 else "assistant", 1_700_000_000, t) for i, t in enumerate(said)]
+    assert links_of(spark, rows)["s", len(said)][0] == 1
