@@ -12,7 +12,7 @@ alone. Turns are sorted within blocks of a channel: ``BLOCK`` lines, or an hour
 a second of an hour with more than ``BLOCK``, or eight leading characters of the id where such messages have no time. A block is summed
 up in one row (turns, speakers at its ends, soundness). Blocks are put in order within a day of a
 session, days within a session, and each level hands its sums to the next. Candidates are scored in pieces
-of the numbered session, and beyond the nearest only as far back as a likelier one can be.
+of the numbered session, and beyond the nearest only as far back as a likelier one can be; each is scored once.
 
 Defined results: lines without a session take that of their file and are left out if it has
 none; unreadable content is no turn; the words and mentions of a message are those of all its text parts; of copies the smallest ``row_id`` counts; messages
@@ -52,6 +52,11 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}@]+"), lambda w: F.length(w) > 2), lambda w: F.hash(w)))
 
 
+def heard() -> list[Column]:
+    """``words`` and ``mentions`` of ``said``."""
+    return [words_of(F.col("said")).alias("words"), F.regexp_extract_all("said", F.lit(r"@[\w-]+"), F.lit(0)).alias("mentions")]
+
+
 def _text_block(block: Column) -> Column:
     text = F.try_variant_get(block, "$.text", "variant")
     return F.when((F.try_variant_get(block, "$.type", "string") == "text") & (F.schema_of_variant(text) == "STRING"), F.try_variant_get(text, "$", "string"))
@@ -59,12 +64,13 @@ def _text_block(block: Column) -> Column:
 
 def with_said(rows: DataFrame) -> DataFrame:
     """Rows of ``content`` that say something, with ``said``: a string, or text blocks joined. JSON is parsed once."""
-    likely = rows.where(F.ltrim("content").startswith('"') | F.contains("content", F.lit('"text"')))
+    # the first character tells a string or an array; the schema of all that is in it costs as much as parsing
+    rows = rows.withColumn("opens", F.ltrim("content", F.lit(" \t\r\n")).substr(1, 1))
+    likely = rows.where((F.col("opens") == '"') | ((F.col("opens") == "[") & F.contains("content", F.lit('"text"'))))
     rows = evaluated(likely, {"v": F.try_parse_json("content")}).drop("content").where("v is not null")
-    rows = evaluated(rows, {"shape": F.schema_of_variant("v")})
     blocks = F.transform(F.try_variant_get("v", "$", "array<variant>"), _text_block)
-    said = F.when(F.col("shape") == "STRING", F.try_variant_get("v", "$", "string")).when(F.col("shape").startswith("ARRAY"), F.nullif(F.array_join(blocks, "\n"), F.lit("")))
-    return evaluated(rows, {"said": said}).drop("v", "shape").where(F.col("said").rlike(NOT_BLANK))
+    said = F.when(F.col("opens") == '"', F.try_variant_get("v", "$", "string")).otherwise(F.nullif(F.array_join(blocks, "\n"), F.lit("")))
+    return evaluated(rows, {"said": said}).drop("v", "opens").where(F.col("said").rlike(NOT_BLANK))
 
 
 def inner_document(v: Column) -> Column:
@@ -80,23 +86,23 @@ def session_turns(session: DataFrame, zones: DataFrame) -> tuple[DataFrame, Data
     read = lambda rows: with_readings(rows, F.col("text"), zones).withColumn("sec", F.coalesce("sec", "early")).drop("early", "late")
     at = F.struct("line_no", "row_id")
     # most files begin with a readable line; only the others are read line by line for it
-    heads = lines.where("text is not null").groupBy("log_file").agg(F.min_by(F.struct("text", "machine"), at).alias("head")).select("log_file", "head.text", "head.machine")
-    heads = cut_lineage(read(heads).select("log_file", "sec", "nano"))
+    heads = lines.groupBy("log_file").agg(F.min_by(F.struct("text", "machine"), F.when(F.col("text").isNotNull(), at)).alias("head"), F.min("sessionid").alias("owner")).select("log_file", "owner", "head.text", "head.machine")
+    heads = cut_lineage(read(heads).select("log_file", "owner", "sec", "nano"))
     late = read(lines.where("text is not null").select("log_file", "line_no", "row_id", "text", "machine").join(heads.where("sec is null").select("log_file"), "log_file", "left_semi"))
     late = late.where("sec is not null").groupBy("log_file").agg(F.min_by(F.struct("sec", "nano"), at).alias("first"))
     files = heads.where("sec is not null").select("log_file", F.struct("sec", "nano").alias("first")).unionByName(late)
-    timed = read(lines)
-    owner = session.where("sessionid is not null").groupBy("log_file").agg(F.min("sessionid").alias("owner"))
 
-    turns = with_said(timed.where("content is not null"))
+    # times are read last, of turns only, as they cost more than all else that is read of a line
+    turns = with_said(lines.where("content is not null"))
     turns = turns.withColumn("speaker", speaker_of(F.coalesce("role", "type"))).where("speaker <> 'system'")
-    turns = turns.select(F.lit("session_one").alias("tbl"), F.col("sessionid").alias("conv_id"), "log_file", "line_no", "row_id", "speaker", "sec", "said")
+    turns = turns.select(F.lit("session_one").alias("tbl"), F.col("sessionid").alias("conv_id"), "log_file", "line_no", "row_id", "speaker", "machine", "text", *heard())
+    owner = heads.where("owner is not null").select("log_file", "owner")
     orphans = turns.where("conv_id is null").join(owner, "log_file").withColumn("conv_id", F.col("owner")).drop("owner")
-    turns = turns.where("conv_id is not null").unionByName(orphans)
+    turns = read(turns.where("conv_id is not null").unionByName(orphans))
     return (
         turns.select(
             "tbl", "conv_id", F.coalesce("log_file", F.lit("")).alias("channel"), F.coalesce(F.expr(f"line_no div {BLOCK}"), F.lit(LAST)).alias("block"), F.lit("").alias("part"), F.coalesce(F.col("line_no").cast("bigint"), F.lit(LAST)).alias("pos"),
-            F.coalesce(F.col("line_no").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string"))).alias("line"), "row_id", "speaker", "sec", words_of(F.col("said")).alias("words"), F.regexp_extract_all("said", F.lit(r"@[\w-]+"), F.lit(0)).alias("mentions"),
+            F.coalesce(F.col("line_no").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string"))).alias("line"), "row_id", "speaker", "sec", "words", "mentions",
         ),
         files.select(F.lit("session_one").alias("tbl"), F.col("log_file").alias("channel"), F.struct("first.sec", "first.nano").alias("first")),
     )
@@ -107,7 +113,7 @@ def message_turns(message: DataFrame, part: DataFrame) -> DataFrame:
     parts = evaluated(part.where("message_id is not null and contains(data, 'text')").select("message_id", "data"), {"v": F.try_parse_json("data")}).drop("data")
     parts = evaluated(parts, {"d": inner_document(F.col("v"))})
     parts = evaluated(parts, {"said": _text_block(F.col("d"))}).select("message_id", "said").where(F.col("said").rlike(NOT_BLANK))
-    parts = parts.select("message_id", words_of(F.col("said")).alias("words"), F.regexp_extract_all("said", F.lit(r"@[\w-]+"), F.lit(0)).alias("mentions"), F.spark_partition_id().alias("task"))
+    parts = parts.select("message_id", *heard(), F.spark_partition_id().alias("task"))
     # joined within a task first, where a message with any number of parts is no larger than the task
     join = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
     parts = parts.groupBy("message_id", "task").agg(join("words"), join("mentions")).groupBy("message_id").agg(join("words"), join("mentions"))
@@ -128,24 +134,38 @@ KEYS = ["tbl", "conv_id", "channel", "block", "part"]
 TURN = ["turn_no", "row_id", "speaker", "sec", "words", "mentions"]
 
 
+def most(back: Column) -> Column:
+    """What a turn ``back`` turns before can score at most, by the own words and mentions."""
+    own = F.when(F.size("words") > 0, WEIGHTS["words"]).otherwise(0.0) + F.when(F.size("mentions") > 0, WEIGHTS["mention"]).otherwise(0.0)
+    return WEIGHTS["time"] + WEIGHTS["speaker"] + WEIGHTS["nearness"] / back - WEIGHTS["distance"] * F.ln(back) + own
+
+
 def likeliest(candidates: Column) -> Column:
-    """``score, turn_no, parent`` of the likeliest of ``candidates``, of equal ones the nearest; null if there are none."""
+    """``score, turn_no, parent`` of the likeliest of ``candidates``, of equal ones the nearest; null if there are none.
+
+    Words are compared only where a candidate can be likelier than those looked at so far, so the nearest should come first.
+    """
+    back = lambda c: (F.col("turn_no") - c["turn_no"]).cast("double")
 
     def score(c: Column) -> Column:
         gap = F.coalesce(F.abs(F.col("sec") - c["sec"]).cast("double"), F.lit(HALF_LIFE))
         shared = F.size(F.array_intersect("words", c["words"])).cast("double")
-        overlap = shared / F.greatest(F.lit(1.0), F.size("words") + F.size(c["words"]) - shared)
-        back = (F.col("turn_no") - c["turn_no"]).cast("double")
+        # bound by a name, as it would be counted wherever it stands
+        overlap = F.get(F.transform(F.array(shared), lambda n: n / F.greatest(F.lit(1.0), F.size("words") + F.size(c["words"]) - n)), F.lit(0))
         return (
             WEIGHTS["time"] * F.pow(F.lit(0.5), gap / HALF_LIFE)
-            + WEIGHTS["nearness"] / back
-            - WEIGHTS["distance"] * F.ln(back)
+            + WEIGHTS["nearness"] / back(c)
+            - WEIGHTS["distance"] * F.ln(back(c))
             + WEIGHTS["words"] * overlap
             + WEIGHTS["mention"] * F.arrays_overlap("mentions", c["mentions"]).cast("double")
             + WEIGHTS["speaker"] * (F.col("speaker") != c["speaker"]).cast("double")
         )
 
-    return F.array_max(F.transform(candidates, lambda c: F.struct(F.round(score(c), 9).alias("score"), c["turn_no"].alias("turn_no"), c["row_id"].alias("parent"))))
+    def likelier(best: Column, c: Column) -> Column:
+        scored = F.struct(F.round(score(c), 9).alias("score"), c["turn_no"].alias("turn_no"), c["row_id"].alias("parent"))
+        return F.when(best["score"] > most(back(c)) + MARGIN, best).otherwise(F.greatest(best, scored))
+
+    return F.aggregate(candidates, F.lit(None).cast("struct<score:double,turn_no:bigint,parent:bigint>"), likelier)
 
 
 def placed(turns: DataFrame) -> DataFrame:
@@ -163,7 +183,8 @@ def blocks_of(places: DataFrame, files: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.bool_and(sound).alias("sound"), by_place(F.min_by, "speaker").alias("first_speaker"), by_place(F.max_by, "speaker").alias("last_speaker"),
     ).join(files, ["tbl", "channel"], "left")
     day = F.when(F.col("tbl") == "session_one", F.expr(f"first.sec div {DAY}")).when(F.col("block") != LAST, F.expr(f"block * 3600 div {DAY}"))
-    blocks = blocks.withColumns({"day": F.coalesce(day, F.lit(LAST)), "untimed": F.col("first").isNull()})
+    # met twice below, by themselves and by day
+    blocks = cut_lineage(blocks.withColumns({"day": F.coalesce(day, F.lit(LAST)), "untimed": F.col("first").isNull()}))
     order = ["untimed", "first", "channel", "block", "part"]
 
     of_day = Window.partitionBy("tbl", "conv_id", "day").orderBy(*order)
@@ -193,27 +214,29 @@ def reply_links(turns: DataFrame) -> DataFrame:
     pieces = turns.withColumn("piece", F.explode(F.when((F.col("turn_no") - 1) % size >= size - near, F.array(piece, piece + 1)).otherwise(F.array(piece))))
     of_piece = Window.partitionBy(*session, "piece")
     scored = pieces.withColumn("near", F.collect_list(F.struct(*TURN)).over(of_piece.orderBy("turn_no").rowsBetween(-near, -1))).where(F.col("piece") == piece)
-    most = WEIGHTS["time"] + WEIGHTS["speaker"] + WEIGHTS["nearness"] / (near + 1) + F.when(F.size("words") > 0, WEIGHTS["words"]).otherwise(0.0) + F.when(F.size("mentions") > 0, WEIGHTS["mention"]).otherwise(0.0)
-    scored = evaluated(scored, {"best": likeliest(F.col("near"))}).drop("near")
-    reach = F.least(F.floor(F.exp((most - F.col("best.score") + MARGIN) / WEIGHTS["distance"])), F.col("turn_no") - 1)
+    scored = evaluated(scored, {"best": likeliest(F.reverse("near"))}).drop("near")
+    beyond = most(F.lit(near + 1.0)) + WEIGHTS["distance"] * F.ln(F.lit(near + 1.0))
+    reach = F.least(F.floor(F.exp((beyond - F.col("best.score") + MARGIN) / WEIGHTS["distance"])), F.col("turn_no") - 1)
     scored = scored.withColumn("reach", F.coalesce(reach, F.lit(0)))
 
     # turns that reach further meet the turns of the spans they reach; a piece that has another after it is held whole
     far = F.col("reach") > near
     low, high = F.when(far, F.col("turn_no") - F.col("reach")), F.when(far, F.col("turn_no") - near - 1)
-    sought = scored.withColumns({"low": low, "high": high}).withColumns({"lowest": F.min("low").over(of_piece), "highest": F.max("high").over(of_piece), "end": F.max("turn_no").over(of_piece)})
-    held = F.col("turn_no").between(F.col("lowest"), F.col("highest")) | (F.col("end") == (F.col("piece") + 1) * size)
+    scored = scored.withColumns({"low": low, "high": high}).withColumns({"lowest": F.min("low").over(of_piece), "highest": F.max("high").over(of_piece), "end": F.max("turn_no").over(of_piece)})
+    held = F.coalesce(F.col("turn_no").between(F.col("lowest"), F.col("highest")), F.lit(False)) | (F.col("end") == (F.col("piece") + 1) * size)
     span = lambda c: F.expr(f"{c} div {SPAN}")
-    sought = sought.withColumn("spans", F.when(far, F.sequence(span("low"), span("high")))).where(held | far)
-    meets = F.concat(F.when(held, F.array(F.struct(span("turn_no").alias("span"), F.lit(False).alias("asks")))).otherwise(F.array()), F.coalesce(F.transform("spans", lambda x: F.struct(x.alias("span"), F.lit(True).alias("asks"))), F.array()))
-    sought = sought.select(*session, *TURN, "kept", "best", "low", "high", F.inline(meets))
+    spans = F.when(far, F.sequence(span("low"), span("high")))
+    meets = F.concat(F.when(held, F.array(F.struct(span("turn_no").alias("span"), F.lit(False).alias("asks")))).otherwise(F.array()), F.coalesce(F.transform(spans, lambda x: F.struct(x.alias("span"), F.lit(True).alias("asks"))), F.array()))
+    # scored once: all are written, but what they say only of those that are met
+    kinds, says = [*session, "turn_no", "row_id", "speaker", "kept", "best"], ["sec", "words", "mentions", "low", "high"]
+    scored = cut_lineage(scored.select(*kinds, far.alias("far"), F.when(held | far, F.struct(*says, meets.alias("meets"))).alias("says")))
+    sought = scored.where("says is not null").select(*kinds, *(f"says.{c}" for c in says), F.inline("says.meets"))
     sought = sought.groupBy(*session, "span").agg(
         F.collect_list(F.when(F.col("asks"), F.struct(*TURN, "kept", "best", "low", "high"))).alias("asking"), F.collect_list(F.when(~F.col("asks"), F.struct(*TURN))).alias("held")
     )
     sought = sought.select(*session, "held", F.inline("asking")).withColumn("found", likeliest(F.filter("held", lambda c: c["turn_no"].between(F.col("low"), F.col("high")))))
     sought = sought.groupBy(*session, "turn_no").agg(*(F.first(c).alias(c) for c in ("row_id", "speaker", "kept")), F.array_max(F.array(F.first("best"), F.max("found"))).alias("best"))
-    kinds = [*session, "turn_no", "row_id", "speaker", "kept", "best"]
-    return scored.where(~far).select(kinds).unionByName(sought.select(kinds))
+    return scored.where("not far").select(kinds).unionByName(sought.select(kinds))
 
 
 def conversations(turns: DataFrame, files: DataFrame, sound: bool = False) -> DataFrame:

@@ -96,9 +96,15 @@ def meta_times(rollout: DataFrame) -> DataFrame:
 
 def message_instants(message: DataFrame) -> DataFrame:
     """``oc_message`` with ``sec`` and ``nano`` of ``time_created``, whatever its unit."""
-    return read_times(message.withColumn("time_text", F.col("time_created").cast("string")), F.col("time_text")).withColumnsRenamed({"t_sec": "sec", "t_nano": "nano"}).drop("t_local")
-
-
+    told = message.withColumn("time_text", F.col("time_created").cast("string"))
+    if dict(message.dtypes)["time_created"] not in ("int", "bigint"):
+        return read_times(told, F.col("time_text")).withColumnsRenamed({"t_sec": "sec", "t_nano": "nano"}).drop("t_local")
+    # a whole number is read as ``read_times`` reads its digits, without matching a text
+    digits = F.length("time_text")
+    unit = F.when(digits <= 11, F.lit(1)).when(digits <= 14, F.lit(1000)).when(digits <= 17, F.lit(1_000_000)).otherwise(F.lit(1_000_000_000)).cast("bigint")
+    read = evaluated(told, {"t_unit": F.when(F.col("time_created") >= 100_000_000, unit)})
+    sec, nano = F.expr("time_created div t_unit"), F.expr("(time_created % t_unit) * (1000000000L div t_unit)")
+    return read.withColumns({"sec": sec, "nano": F.coalesce(nano, F.lit(0).cast("bigint"))}).drop("t_unit")
 
 
 def _utc_ms():

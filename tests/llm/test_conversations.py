@@ -207,3 +207,30 @@ def test_parent_from_far_back(spark):
     said = ["which colour has the third @desk legend", *(f"step{i} runs" for i in range(40)), "the third @desk legend has which colour"]
     rows = [("s", i + 1, "user" if i == 0 else "assistant", 1_700_000_000, t) for i, t in enumerate(said)]
     assert links_of(spark, rows)["s", len(said)][0] == 1
+
+
+def test_turns_are_scored_once(spark, sf_dir):
+    fields = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(fields, "1000")
+    try:
+        for query in (c.p6_found, c.p6_links):
+            plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+            # what is left of scoring are turns that reach far; tables and blocks are read before
+            assert plan.count("array_intersect") == 1 and "parquet" not in plan.lower()
+    finally:
+        spark.conf.unset(fields)
+
+
+def test_content_after_white_space(spark):
+    rows = [(i, content) for i, content in enumerate(('"a"', '\n\t"b"', ' "c"', '\r\n[{"type": "text", "text": "d"}]', '{"type": "text", "text": "e"}', '["text"]', '[{"type": "text", "text": 5}]', "5", "[", ""))]
+    got = {r["row_id"]: r["said"] for r in c.with_said(spark.createDataFrame(rows, "row_id int, content string")).collect()}
+    assert got == {0: "a", 1: "b", 2: "c", 3: "d"}
+
+
+@pytest.mark.parametrize("words, mentions", [(30, 0), (5, 2), (0, 0)])
+def test_no_turn_scores_more_than_most(spark, words, mentions):
+    own = {"words": F.array(*map(F.lit, range(words))).cast("array<int>"), "mentions": F.array(*(F.lit(f"@{i}") for i in range(mentions))).cast("array<string>")}
+    turn = F.struct(F.lit("user").alias("speaker"), F.col("back").alias("turn_no"), F.lit(1).cast("bigint").alias("row_id"), F.lit(0).cast("bigint").alias("sec"), F.col("words"), F.col("mentions"))
+    asked = spark.range(1, 50).select(F.col("id").alias("back")).withColumns(own | {"speaker": F.lit("assistant"), "sec": F.lit(0).cast("bigint"), "turn_no": F.lit(50).cast("bigint")})
+    for r in asked.select(c.likeliest(F.array(turn))["score"].alias("score"), c.most((F.lit(50) - F.col("back")).cast("double")).alias("most")).collect():
+        assert r["score"] == pytest.approx(r["most"], abs=1e-8)

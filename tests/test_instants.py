@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions.instants import read_times
-from quern.operators.instants import log_instants
+from quern.operators.instants import log_instants, message_instants
 
 UTC = dt.UTC
 FORMS = {
@@ -92,3 +92,14 @@ def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, log_file string, line_no int, machine string, text string, extra string")
     zones = spark.createDataFrame([], "machine string, zone_name string")
     assert log_instants(df, F.col("text"), zones).count() == 0
+
+
+def test_whole_numbers_like_their_digits(spark):
+    numbers = [None, 0, -1, -1_700_000_000, 99_999_999, 100_000_000, 2**63 - 1, -(2**63)]
+    numbers += [sign * (int("1712345678912345678"[:n]) + k) for n in range(1, 20) for k in (-1, 0, 1) for sign in (1, -1)] + [10**n - k for n in range(1, 19) for k in (0, 1)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "row_id bigint, time_created bigint")
+    rows = lambda df: {tuple(r) for r in message_instants(df).select("row_id", "sec", "nano", "time_text").collect()}
+    assert rows(df) == rows(df.withColumn("time_created", F.col("time_created").cast("string")))
+    small = df.where(F.col("time_created").between(-(2**31), 2**31 - 1))
+    assert rows(small.withColumn("time_created", F.col("time_created").cast("int"))) == rows(small)
+    assert "regexp" not in message_instants(df)._jdf.queryExecution().optimizedPlan().toString()
