@@ -31,8 +31,6 @@ FEW = 4096  # pairs of a project that are compared by a join
 NEUTRAL_KINDS = ("agents_md", "project_md")
 MEMORY_KEYS = ("name", "description")
 MEMORY_TYPES = ("feedback", "project", "reference", "session", "user")
-#: Files a walk does not enter, and how many names it holds at most.
-INDEX_LIMIT = 20_000
 NGRAM = 12
 PROSE_SHARE = 0.6
 
@@ -99,17 +97,15 @@ def missing_references(refs: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def checkable_references(missing: DataFrame, paths: DataFrame) -> DataFrame:
-    """Links, and code spans with an extension whose directory exists or whose name is nowhere.
+    """Links, and code spans with an extension whose directory exists or whose name is nowhere in the project.
 
-    A project with more names than the index holds has an incomplete index: there an unknown name
-    counts as one that exists.
+    All names of a project are looked at, however many they are.
     """
     dirs = paths.where("is_dir").select("project", F.col("path").alias("parent")).distinct().withColumn("has_parent", F.lit(True))
-    names = paths.where("not is_dir").select("project", tx.base_name(F.col("path")).alias("base")).distinct()
-    complete = names.groupBy("project").agg((F.count("*") <= INDEX_LIMIT).alias("complete"))
+    names = paths.where("not is_dir").select("project", tx.base_name(F.col("path")).alias("base")).distinct().withColumn("has_name", F.lit(True))
     df = missing.withColumns({"parent": tx.dir_name(F.col("norm")), "base": tx.base_name(F.col("norm"))})
-    df = df.join(dirs, ["project", "parent"], "left").join(names.withColumn("has_name", F.lit(True)), ["project", "base"], "left").join(complete, "project", "left")
-    span_ok = F.col("base").rlike(r"\.[A-Za-z0-9]+$") & (F.coalesce("has_parent", F.lit(False)) | (F.coalesce("complete", F.lit(True)) & F.col("has_name").isNull()))
+    df = df.join(dirs, ["project", "parent"], "left").join(names, ["project", "base"], "left")
+    span_ok = F.col("base").rlike(r"\.[A-Za-z0-9]+$") & (F.col("has_parent").isNotNull() | F.col("has_name").isNull())
     return df.where((F.col("form") == "link") | span_ok)
 
 
